@@ -7,19 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import simhash_ball
+from tessera.llm import chat_template, html_extract, kneser_ney, simhash_ball, url_reputation
 from tessera.llm.common import checkpointed, table
 
 
+def op1_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = kneser_ney.judge_quality(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", F.col("n").alias("n_symbols"), "perplexity", "z", "z_low", "z_high", "keep")
+
+
 def op4_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = simhash_ball.with_fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
     grouped = simhash_ball.with_components(checkpointed(docs.select("doc_id", "fp")))
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_template.with_hostile_conversation(table(spark, sf_dir, "conversations"))
+    return chat_template.digest_pieces(chat_template.format_conversations(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_ball,)}
+    found = (op1_html_templates, op2_url_reputation, op3_kneser_ney, op4_simhash_ball, op5_chat_template)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_reputation": url_reputation.SQL}
