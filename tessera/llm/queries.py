@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_template, html_extract, kneser_ney, simhash_ball, url_reputation
+from tessera.llm import chat_template, edit_decontam, feistel_shards, html_extract, kneser_ney
+from tessera.llm import license_diagonals, media_chunks, simhash_ball, source_schedule, url_reputation
 from tessera.llm.common import checkpointed, table
 
 
@@ -37,10 +38,36 @@ def op5_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_template.digest_pieces(chat_template.format_conversations(rows))
 
 
+def op6_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = feistel_shards.with_sizes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    sharded = feistel_shards.assign_shards(checkpointed(docs), ["doc_id", "size", "text_crc32"])
+    return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_diagonals.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.media_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_edit_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_decontam.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_schedule.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_templates, op2_url_reputation, op3_kneser_ney, op4_simhash_ball, op5_chat_template)
+    found = (
+        op1_html_templates, op2_url_reputation, op3_kneser_ney, op4_simhash_ball, op5_chat_template,
+        op6_feistel_shards, op7_license_diagonals, op8_media_chunks, op9_edit_decontam, op10_source_schedule,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_reputation": url_reputation.SQL}
+    return {"op2_url_reputation": url_reputation.SQL, "op10_source_schedule": source_schedule.SQL}
