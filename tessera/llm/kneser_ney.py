@@ -248,7 +248,7 @@ def language_limits(trusted: DataFrame, low: float, high: float, least: int = 10
     )
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float = 0.998, slack: float = 0.25) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float = 0.998, slack: float = 0.25, broadcast_ids: int = 1_000_000) -> DataFrame:
     """Add n, logp, perplexity, z, z_low, z_high and keep to ``docs(doc_id, text, lang, ...)``.
 
     Trusted text: documents with a label of quality 1 and none of quality 0 or
@@ -261,10 +261,14 @@ def judge_quality(docs: DataFrame, labels: DataFrame, low: float = 0.002, high:
     clash = [c for c in ("n", "logp", "perplexity", "z", "z_low", "z_high", "keep", "_trusted") if c in docs.columns]
     docs = docs.drop(*clash)
     good = F.min(F.when((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)), 1).otherwise(0))
-    trusted = labels.filter("doc_id is not null").groupBy("doc_id").agg(good.alias("_trusted")).filter("_trusted = 1")
-    model = checkpointed(train(docs.join(trusted, "doc_id", "left_semi").select("text")))
+    trusted = labels.filter("doc_id is not null").groupBy("doc_id").agg(good.alias("_trusted")).filter("_trusted = 1").select("doc_id")
+    trusted = checkpointed(trusted)
+    # ids of 8 bytes go to the texts while they are few; beyond that texts and ids meet by shuffle
+    trusted = F.broadcast(trusted) if trusted.count() <= broadcast_ids else trusted.hint("shuffle_merge")
+    known = docs.join(trusted, "doc_id", "left_semi")
+    model = checkpointed(train(known.select("text")))
     scored = score(docs, model)
-    narrow = checkpointed(scored.join(trusted, "doc_id", "left_semi").select("lang", "n", "logp"))
+    narrow = checkpointed(score(known, model).select("lang", "n", "logp"))
     limits = checkpointed(language_limits(narrow, low, high))
     rest = limits.filter("lang is null").first()
     mean, z_low, z_high = (rest["mean"], rest["z_low"], rest["z_high"]) if rest else (None, None, None)
