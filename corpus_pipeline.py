@@ -31,14 +31,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with a null id belong to no group and stay. Of several rows with one id
     that stays, the one with the smallest (text, lang, source) stays.
     """
-    groups = simhash_ball.near_duplicate_groups(docs)
-    kept = groups.filter("doc_id = component_id").select("doc_id")
     docs = docs.select(COLUMNS)
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    single = docs.join(kept.join(repeated, "doc_id", "left_anti"), "doc_id", "left_semi")
-    several = docs.join(kept.join(repeated, "doc_id", "left_semi"), "doc_id", "left_semi")
-    several = several.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("s")).select("doc_id", "s.*")
-    return single.select(COLUMNS).union(several.select(COLUMNS)).union(docs.filter("doc_id is null").select(COLUMNS))
+    groups = simhash_ball.near_duplicate_groups(docs)
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg((F.count("*") > 1).alias("_repeated"))
+    kept = groups.filter("doc_id = component_id").select("doc_id").join(repeated, "doc_id")
+    docs_kept = docs.join(kept, "doc_id")
+    several = docs_kept.filter("_repeated").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("s")).select("doc_id", "s.*")
+    return docs_kept.filter("not _repeated").select(COLUMNS).union(several.select(COLUMNS)).union(docs.filter("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
