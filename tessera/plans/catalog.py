@@ -1,11 +1,572 @@
-"""The catalogue of registered queries and their SQL."""
+"""The catalogue of the engine's queries over the given tables, and their SQL.
+
+Ten documents of neighbouring ids are one comparison job; a chunk is a line of ten
+characters or more. Scores are rounded to 6 digits at this edge.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from tessera.config import CompareConfig
+from tessera.functions import diff as D
+from tessera.functions import entities as E
+from tessera.functions import minhash as M
+from tessera.functions import text as X
+from tessera.operators import aggregate, chunk, cluster, facts, listing, recall, score
+from tessera.plans import oracle as O
+from tessera.plans.compare import CompareResult, compare, comparable_chunks, document_chunks, jobs_of_documents
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register the function below under its name, with its SQL."""
+
+    def keep(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+def _r6(c: str) -> F.Column:
+    return F.round(F.col(c).cast("double"), 6)
+
+
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph chunks with what the cheap queries need, all in the JVM."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text").repartition(F.expr("doc_id div 10"))
+    return jobs_of_documents(chunk.paragraph_chunks(docs))
+
+
+def _light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparable chunks with tokens, normalized text and rel_pos but without entities."""
+    out = _flat(spark, sf_dir).withColumns({"tokens": X.tokens(F.col("text")), "normalized": X.normalized(F.col("text"))})
+    out = chunk.with_rel_pos(out, ["job_id", "doc_id"]).filter(F.size("tokens") > 0)
+    return out.withColumn("normalized_hash", X.exact_hash(F.col("normalized")))
+
+
+def _result(spark: SparkSession, sf_dir: str, **more: DataFrame) -> CompareResult:
+    return compare(document_chunks(_docs(spark, sf_dir)), CompareConfig(), **more)
+
+
+# ------------------------------------------------------------ chunks and text
+@query(f"WITH {O.CHUNKS} SELECT doc_id, chunk_type, order_index, text FROM chunks")
+def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph chunks of all documents."""
+    return _flat(spark, sf_dir).select("doc_id", "chunk_type", F.col("order_index").cast("long").alias("order_index"), "text")
+
+
+@query()
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section chunks; sections end after 6000 characters, which is sequential."""
+    docs = _docs(spark, sf_dir).select("doc_id", X_blocks())
+    return chunk.chunk_documents(docs).filter("chunk_level = 'section'").select("doc_id", "order_index", F.length("text").alias("n_chars"), "section_path")
+
+
+def X_blocks() -> F.Column:
+    return chunk.text_blocks(F.col("text")).alias("blocks")
+
+
+@query(f"WITH {O.LINES} SELECT doc_id, line_no, row_text AS row FROM ruled WHERE row_text IS NOT NULL AND row_text != ''")
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4."""
+    return chunk.flat_lines(_docs(spark, sf_dir)).filter("row != ''").select("doc_id", "line_no", "row")
+
+
+@query(f"SELECT doc_id, {O.normal('text')} AS normalized FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N1, N4 with default options."""
+    return _docs(spark, sf_dir).select("doc_id", X.normalized(F.col("text")).alias("normalized"))
+
+
+@query(f"SELECT doc_id, sha256(text) AS exact_hash, sha256({O.normal('text')}) AS normalized_hash FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N5."""
+    return _docs(spark, sf_dir).select("doc_id", X.exact_hash(F.col("text")).alias("exact_hash"), X.exact_hash(X.normalized(F.col("text"))).alias("normalized_hash"))
+
+
+@query("SELECT sha256(text) AS file_hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY ALL HAVING count(*) > 1")
+def exact_dup_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents; hashes are counted, texts are not shuffled."""
+    hashed = _docs(spark, sf_dir).select("doc_id", X.exact_hash(F.col("text")).alias("file_hash"))
+    return hashed.groupBy("file_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).filter("copies > 1")
+
+
+@query("""
+WITH hashed AS (SELECT doc_id, source, sha256(text) AS file_hash FROM documents),
+stored AS (SELECT DISTINCT file_hash FROM hashed WHERE source = 'src0'),
+batch AS (SELECT doc_id, file_hash, row_number() OVER (PARTITION BY file_hash ORDER BY doc_id) AS rn FROM hashed WHERE source IS DISTINCT FROM 'src0')
+SELECT doc_id, file_hash FROM batch WHERE rn = 1 AND file_hash NOT IN (SELECT file_hash FROM stored)""")
+def import_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a batch the first of equal files, without those that the workspace (source src0) has."""
+    hashed = _docs(spark, sf_dir).select("doc_id", "source", X.exact_hash(F.col("text")).alias("file_hash"))
+    stored = hashed.filter("source = 'src0'").select("file_hash")
+    first = hashed.filter("not source <=> 'src0'").groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
+    return first.join(stored, "file_hash", "left_anti").select("doc_id", "file_hash")
+
+
+@query(f"WITH {O.GRAMS} SELECT cid, size AS n_grams FROM sizes")
+def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the number of different 2- and 3-grams of each chunk."""
+    out = _light(spark, sf_dir).select("cid", F.size(X.char_grams(F.col("normalized"))).cast("long").alias("n_grams"))
+    return out.filter("n_grams > 0")
+
+
+@query(f"WITH {O.FEATURES} SELECT cid, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM comp")
+def tokenize_en(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10."""
+    return _light(spark, sf_dir).select("cid", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+_LANGUAGE = """CASE WHEN len(regexp_extract_all(text, '[\\p{L}\\p{N}]')) = 0
+  OR len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}]')) * 100 >= len(regexp_extract_all(text, '[\\p{L}\\p{N}]')) * 15 THEN 'zh' ELSE 'en' END"""
+
+
+@query(f"SELECT conv_id, turn, {_LANGUAGE} AS language FROM conversations")
+def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10."""
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", X.detected_language(F.col("text")).alias("language"))
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    light = _light(spark, sf_dir)
+    terms = light.select("job_id", "cid", F.explode("tokens").alias("token")).groupBy("job_id", "cid", "token").agg(F.count("*").alias("tf"))
+    return terms, light.groupBy("job_id").agg(F.count("*").alias("n"))
+
+
+def _idf(terms: DataFrame, sizes: DataFrame) -> DataFrame:
+    df = terms.groupBy("job_id", "token").agg(F.count("*").alias("df")).join(sizes, "job_id")
+    return df.withColumn("idf", F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
+
+
+@query(f"WITH {O.IDF} SELECT job_id, token, df, round(idf, 6) AS idf FROM idf")
+def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9."""
+    return _idf(*_terms(spark, sf_dir)).select("job_id", "token", "df", _r6("idf").alias("idf"))
+
+
+@query(f"WITH {O.IDF} SELECT cid, token, round(w, 6) AS weight FROM tfidf")
+def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F10."""
+    terms, sizes = _terms(spark, sf_dir)
+    raw = terms.join(_idf(terms, sizes).select("job_id", "token", "idf"), ["job_id", "token"]).withColumn("w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("job_id", "cid")))
+    return raw.select("cid", "token", F.round(F.col("w") / norm, 6).alias("weight"))
+
+
+_EN_TECH, _EN_BIZ = ["system", "design", "the", "version"], ["price", "license", "and", "terms"]
+
+
+@query(f"""WITH {O.CHUNKS}
+SELECT cid, CASE WHEN t > b THEN 'tech' WHEN b > t THEN 'business' ELSE 'other' END AS section_kind
+FROM (SELECT cid, len(list_filter({_EN_TECH}, lambda k: contains(text, k))) AS t, len(list_filter({_EN_BIZ}, lambda k: contains(text, k))) AS b FROM chunks)""")
+def section_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 with keyword lists that occur in these texts."""
+    return _flat(spark, sf_dir).select("cid", X.section_kind(F.col("text"), _EN_TECH, _EN_BIZ).alias("section_kind"))
+
+
+@query(f"""WITH {O.FEATURES},
+templates AS (SELECT item_id, list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 2) AS tokens FROM benchmark),
+a AS (SELECT cid, token, count(*) AS n FROM (SELECT cid, unnest(tokens) AS token FROM comp) GROUP BY ALL),
+b AS (SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest(tokens) AS token FROM templates) GROUP BY ALL),
+na AS (SELECT cid, sqrt(sum(n * n)) AS norm FROM a GROUP BY ALL), nb AS (SELECT item_id, sqrt(sum(n * n)) AS norm FROM b GROUP BY ALL)
+SELECT cid, item_id AS template_id, round(cosine, 6) AS cosine FROM (
+  SELECT cid, item_id, sum(a.n * b.n) / (any_value(na.norm) * any_value(nb.norm)) AS cosine
+  FROM a JOIN b USING (token) JOIN na USING (cid) JOIN nb USING (item_id) GROUP BY ALL)
+WHERE cosine >= 0.7""")
+def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that are the text of a benchmark item, taken as templates."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("template_id"), X.tokens_en(F.col("text")).alias("tokens"))
+    chunks = _light(spark, sf_dir).select(F.col("cid").alias("key"), "tokens")
+    out = chunk.template_scores(chunks, items).filter(F.col("cosine") >= chunk.TEMPLATE_COSINE)
+    return out.select(F.col("key").alias("cid"), "template_id", _r6("cosine").alias("cosine"))
+
+
+@query(f"WITH {O.FEATURES} SELECT cid, round(rel_pos, 6) AS rel_pos FROM comp")
+def rel_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11."""
+    return _light(spark, sf_dir).select("cid", _r6("rel_pos").alias("rel_pos"))
+
+
+# --------------------------------------------------------------------- recall
+@query(f"WITH {O.FEATURES}{O.HASHED} SELECT job_id, x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS n_pairs FROM by_hash JOIN comp x USING (job_id) JOIN comp y USING (job_id) WHERE x.cid = a AND y.cid = b GROUP BY ALL")
+def dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many equal chunks each pair of documents of a job has. The flagship query."""
+    return recall.hash_pairs(_light(spark, sf_dir)).groupBy("job_id", "doc_a", "doc_b").agg(F.count("*").alias("n_pairs"))
+
+
+@query(f"WITH {O.FEATURES}{O.HASHED} SELECT job_id, a, b FROM by_hash")
+def recall_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1, J2."""
+    return recall.hash_pairs(_light(spark, sf_dir)).select("job_id", "a", "b")
+
+
+@query(f"WITH {O.GRAMS} SELECT job_id, a, b, shared, round(char_ngram, 6) AS char_ngram FROM by_ngram JOIN overlap USING (job_id, a, b)")
+def recall_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3, ranked by the exact Jaccard similarity that MinHash estimates."""
+    pairs = recall.candidate_pairs(_light(spark, sf_dir)).filter("by_ngram")
+    return pairs.select("job_id", "a", "b", F.col("shared").cast("long").alias("shared"), _r6("char_ngram").alias("char_ngram"))
+
+
+@query(f"WITH {O.TFIDF} SELECT job_id, a, b, round(lexical, 6) AS lexical FROM by_tfidf JOIN dots USING (job_id, a, b)")
+def recall_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4."""
+    return recall.candidate_pairs(_light(spark, sf_dir)).filter("by_tfidf").select("job_id", "a", "b", _r6("lexical").alias("lexical"))
+
+
+@query(f"WITH {O.RECALL} SELECT job_id, a, b FROM candidates")
+def recall_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6."""
+    return recall.candidate_pairs(_light(spark, sf_dir)).select("job_id", "a", "b")
+
+
+@query()
+def minhash_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4, F5 on pairs of equal or nearly equal length hash candidates; the signature is not SQL."""
+    light = _light(spark, sf_dir)
+    pairs = recall.hash_pairs(light).select("job_id", "a", "b").unionByName(
+        light.groupBy("job_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).filter("a < b").select("job_id", "a", "b")
+    )
+    signed = light.select("cid", M.minhash(X.char_grams(F.col("normalized"))).alias("sig"))
+    out = pairs.join(signed.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(signed.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
+    return out.select("job_id", "a", "b", X.minhash_similarity(F.col("sa"), F.col("sb")).alias("similarity"))
+
+
+@query("""
+WITH v AS (SELECT vec_id // 50 AS job_id, vec_id AS cid, label AS doc_id, embedding::DOUBLE[] AS x FROM embeddings),
+n AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v),
+p AS (SELECT a.job_id, a.cid AS a, b.cid AS b, CASE WHEN a.norm * b.norm > 0 THEN list_dot_product(a.x, b.x) / (a.norm * b.norm) ELSE 0 END AS semantic
+      FROM n a JOIN n b ON a.job_id = b.job_id AND a.cid < b.cid AND a.doc_id != b.doc_id)
+SELECT job_id, a, b, round(semantic, 6) AS semantic FROM p WHERE round(semantic, 9) >= 0.1
+QUALIFY row_number() OVER (PARTITION BY job_id, a ORDER BY round(semantic, 9) DESC, b) <= 5""")
+def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors; 50 vectors are a job, labels are documents, the floor fits these vectors."""
+    v = _table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 50").alias("job_id"), F.col("vec_id").alias("cid"), F.col("label").cast("long").alias("doc_id"), F.col("embedding").alias("vector"))
+    return recall.semantic_pairs(v, floor=0.1).select("job_id", "a", "b", _r6("semantic").alias("semantic"))
+
+
+# ---------------------------------------------------------------- pair scores
+@query(f"WITH {O.SCORED} SELECT job_id, a, b, round(lexical, 6) AS lexical, round(char_ngram, 6) AS char_ngram, round(order_score, 6) AS order_score, round(final_score, 6) AS final_score FROM scored")
+def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1-K4; these texts have no entities and no section paths, so those dimensions do not count."""
+    scored = _result(spark, sf_dir).scored
+    return scored.select("job_id", "a", "b", *[_r6(c).alias(c) for c in ("lexical", "char_ngram", "order_score", "final_score")])
+
+
+@query(f"WITH {O.SCORED} SELECT job_id, a, b, threshold, round(final_score, 6) AS final_score FROM edges")
+def short_text_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6, P5: the pairs that reach the threshold of their length."""
+    threshold = score.effective_threshold(F.col("char_count_a"), F.col("char_count_b"), 0.7)
+    return _result(spark, sf_dir).scored.filter("keep").select("job_id", "a", "b", threshold.alias("threshold"), _r6("final_score").alias("final_score"))
+
+
+@query(f"WITH {O.SCORED} SELECT job_id, cid, round(best, 6) AS best FROM best")
+def best_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5."""
+    return _result(spark, sf_dir).best.select("job_id", "cid", _r6("best").alias("best"))
+
+
+# ------------------------------------------------------------------- clusters
+@query(f"WITH {O.COMPONENTS} SELECT job_id, root AS first_chunk, n_members, round(avg_score, 6) AS avg_score, round(peak, 6) AS peak, round(min_pair, 6) AS min_pair, round(lex_avg, 6) AS lex_avg FROM described")
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1-G4, G6. The SQL has no cohesive split; at this scale no component is loose enough to need one."""
+    raw = _result(spark, sf_dir).raw_clusters
+    return raw.select("job_id", F.array_min("members").alias("first_chunk"), F.size("members").cast("long").alias("n_members"), _r6("avg").alias("avg_score"), _r6("peak").alias("peak"), _r6("min_pair").alias("min_pair"), _r6("lex_avg").alias("lex_avg"))
+
+
+@query(f"WITH {O.COMPONENTS} SELECT job_id, root AS first_chunk, cid, role, round(score, 6) AS score FROM member")
+def cluster_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5, G13."""
+    result = _result(spark, sf_dir)
+    first = result.raw_clusters.select("job_id", "cluster_no", F.array_min("members").alias("first_chunk"))
+    return result.members.join(first, ["job_id", "cluster_no"]).select("job_id", "first_chunk", "cid", "role", _r6("score").alias("score"))
+
+
+@query(f"WITH {O.COMPONENTS} SELECT job_id, root AS first_chunk, n_docs, cluster_type, severity FROM described")
+def cluster_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7, G10-G12."""
+    return _result(spark, sf_dir).clusters.select("job_id", F.array_min("members").alias("first_chunk"), "n_docs", "cluster_type", "severity")
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select(F.expr("doc_id div 10").alias("job_id"), "doc_id")
+    return docs.groupBy("job_id").agg(F.min("doc_id").alias("base_doc"))
+
+
+@query(f"""WITH {O.COMPONENTS},
+base AS (SELECT doc_id // 10 AS job_id, min(doc_id) AS base_doc FROM documents GROUP BY ALL),
+added AS (SELECT job_id, root AS cid, 'added' AS cluster_type, avg_score AS score FROM described d JOIN base USING (job_id)
+          WHERE NOT EXISTS (SELECT 1 FROM member m WHERE m.job_id = d.job_id AND m.root = d.root AND m.doc_id = base_doc)),
+deleted AS (SELECT c.job_id, c.cid, 'deleted' AS cluster_type, coalesce(best, 0) AS score
+            FROM comp c JOIN base ON base.job_id = c.job_id AND base_doc = c.doc_id LEFT JOIN best b ON b.job_id = c.job_id AND b.cid = c.cid
+            WHERE NOT EXISTS (SELECT 1 FROM member m WHERE m.job_id = c.job_id AND m.cid = c.cid) AND coalesce(best, 0) < 0.55
+            QUALIFY row_number() OVER (PARTITION BY c.job_id ORDER BY c.cid) <= 200)
+SELECT job_id, cid, cluster_type, round(score, 6) AS score FROM added UNION ALL SELECT job_id, cid, cluster_type, round(score, 6) FROM deleted""")
+def added_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G8, G9, J13 with the first document of each job as its base."""
+    result = _result(spark, sf_dir, base_docs=_base(spark, sf_dir))
+    added = result.clusters.filter("cluster_type = 'added'").select("job_id", F.array_min("members").alias("cid"), "cluster_type", _r6("score").alias("score"))
+    return added.unionByName(result.deleted.select("job_id", "cid", "cluster_type", _r6("score").alias("score")))
+
+
+# ------------------------------------------------------------- job aggregates
+@query(f"WITH {O.COMPONENTS} SELECT job_id, doc_a, doc_b, round(sim, 6) AS sim FROM matrix")
+def doc_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, J15."""
+    return _result(spark, sf_dir).matrix.select("job_id", "doc_a", "doc_b", _r6("sim").alias("sim"))
+
+
+@query(f"WITH {O.COMPONENTS} SELECT job_id, round(peak, 6) AS peak FROM peaks")
+def doc_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1."""
+    return aggregate.matrix_peaks(_result(spark, sf_dir).matrix).select("job_id", _r6("peak").alias("peak"))
+
+
+@query(f"""WITH {O.COMPONENTS}, p AS (SELECT job_id, doc_a, doc_b, round(sim * 100)::INT AS percent FROM matrix WHERE doc_a < doc_b)
+SELECT *, CASE WHEN percent >= 80 THEN 'high' WHEN percent >= 60 THEN 'medium' WHEN percent >= 30 THEN 'low' ELSE 'none' END AS band FROM p""")
+def pair_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10."""
+    return aggregate.ranked_pairs(_result(spark, sf_dir).matrix)
+
+
+@query(f"WITH {O.SCORED} SELECT job_id, doc_id, 'other' AS section_kind, round(max(coalesce(best, 0)), 6) AS intensity, count(*) FILTER (WHERE coalesce(best, 0) >= 0.5) AS matches FROM comp LEFT JOIN best USING (job_id, cid) GROUP BY job_id, doc_id")
+def section_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2."""
+    return _result(spark, sf_dir).sections.select("job_id", "doc_id", "section_kind", _r6("intensity").alias("intensity"), "matches")
+
+
+@query(f"""WITH {O.FEATURES}, counted AS (
+  SELECT job_id, term, count(DISTINCT doc_id) AS n_docs FROM (SELECT job_id, doc_id, unnest(tokens) AS term FROM comp) WHERE length(term) >= 4 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2)
+SELECT job_id, term, n_docs FROM counted QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY n_docs DESC, length(term) DESC, term) <= 30""")
+def shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3."""
+    return aggregate.shared_terms(_light(spark, sf_dir)).select("job_id", "term", "n_docs")
+
+
+@query("""
+WITH price AS (SELECT o_custkey AS doc_id, o_custkey % 50 AS job_id, max(floor(o_totalprice))::BIGINT AS amount FROM orders GROUP BY ALL),
+parts AS (SELECT DISTINCT o_custkey AS doc_id, o_custkey % 50 AS job_id, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+overlap AS (SELECT a.job_id, a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS n FROM parts a JOIN parts b ON a.job_id = b.job_id AND a.l_partkey = b.l_partkey AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT o.job_id, doc_a, doc_b, a.amount AS amount_a, b.amount AS amount_b, round(abs(a.amount - b.amount) / greatest(a.amount, b.amount), 6) AS gap
+FROM overlap o JOIN price a ON a.doc_id = doc_a JOIN price b ON b.doc_id = doc_b
+WHERE n >= 3 AND a.amount != b.amount AND a.amount > 0 AND b.amount > 0 AND abs(a.amount - b.amount) / greatest(a.amount, b.amount) < 0.03""")
+def price_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: customers as documents, their greatest order as the price, common parts as the overlap."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    job = (F.col("o_custkey") % 50).alias("job_id")
+    amounts = orders.groupBy(job, F.col("o_custkey").alias("doc_id")).agg(F.max(F.floor("o_totalprice")).cast("long").alias("amount"))
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    parts = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(job, F.col("o_custkey").alias("doc_id"), "l_partkey").distinct()
+    a, b = parts.withColumnRenamed("doc_id", "doc_a"), parts.withColumnRenamed("doc_id", "doc_b")
+    overlaps = a.join(b, ["job_id", "l_partkey"]).filter("doc_a < doc_b").groupBy("job_id", "doc_a", "doc_b").agg(F.count("*").alias("n"))
+    return aggregate.price_proximity(amounts, overlaps).select("job_id", "doc_a", "doc_b", "amount_a", "amount_b", _r6("gap").alias("gap"))
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs_of_documents(_docs(spark, sf_dir)).select("job_id", "doc_id", F.col("source").alias("author"), F.lit("").alias("last_modified_by"))
+
+
+@query("""SELECT job_id, doc_id, 'same_author' AS flag, value, n_docs FROM (
+  SELECT doc_id // 10 AS job_id, doc_id, trim(source) AS value, count(*) OVER (PARTITION BY doc_id // 10, trim(source)) AS n_docs FROM documents WHERE trim(source) != '') WHERE n_docs >= 2""")
+def metadata_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 with the source as the author."""
+    return aggregate.metadata_flags(_metadata(spark, sf_dir))
+
+
+@query(f"WITH {O.COMPONENTS} SELECT job_id, round(peak, 6) AS peak, score, CASE WHEN score >= 0.6 THEN 'high' WHEN score >= 0.35 THEN 'medium' WHEN score > 0.1 THEN 'low' ELSE 'none' END AS level FROM collusion")
+def collusion_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7; these texts have no amounts, so no price signal."""
+    found = _result(spark, sf_dir, metadata=_metadata(spark, sf_dir)).collusion
+    return found.select("job_id", _r6("peak").alias("peak"), "score", "level")
+
+
+@query(f"""WITH {O.COMPONENTS} SELECT c.job_id, c.chunk_count, coalesce(k.cluster_count, 0) AS cluster_count, coalesce(same_count, 0) AS same_count, coalesce(minor_change_count, 0) AS minor_change_count,
+  coalesce(changed_count, 0) AS changed_count, coalesce(uncertain_count, 0) AS uncertain_count
+FROM (SELECT job_id, count(*) AS chunk_count FROM comp GROUP BY ALL) c LEFT JOIN (
+  SELECT job_id, count(*) AS cluster_count, count(*) FILTER (WHERE cluster_type = 'same') AS same_count, count(*) FILTER (WHERE cluster_type = 'minor_change') AS minor_change_count,
+         count(*) FILTER (WHERE cluster_type = 'changed') AS changed_count, count(*) FILTER (WHERE cluster_type = 'uncertain') AS uncertain_count FROM described GROUP BY ALL) k USING (job_id)""")
+def job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5."""
+    return _result(spark, sf_dir).summary.select("job_id", "chunk_count", "cluster_count", "same_count", "minor_change_count", "changed_count", "uncertain_count")
+
+
+# ------------------------------------- entities, numerals, facts: inline texts
+_CLAUSES = [
+    (1, 0, "甲方应在二〇二六年九月三十日前支付预付款五万元，质保期三年。"),
+    (1, 1, "甲方应在2026年9月30日前支付预付款8万元，质保期3年。"),
+    (2, 0, "投标人须在一百八十个日历日内完成系统部署并提交验收报告。"),
+    (2, 1, "投标人须在180个日历日内完成系统部署并提交验收报告。"),
+    (3, 0, "如发生违约，乙方承担百分之三十的赔偿。"),
+    (3, 1, "如发生违约，甲方承担百分之三十的赔偿。"),
+    (4, 0, "服务费用12.5万元，分三期结算，每期四个月。"),
+    (4, 1, "服务费用125000元，分3期结算，每期4个月。"),
+]
+
+
+def _clauses(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(_CLAUSES, "clause long, doc long, text string")
+    rows = rows.withColumn("normalized", X.normalized(F.col("text")))
+    return rows.withColumn("entities", E.entities(F.col("normalized")))
+
+
+def _values(rows: list[tuple]) -> str:
+    told = [", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'" for v in r) for r in rows]
+    return ", ".join(f"({t})" for t in told)
+
+
+_NUMERALS = [("一万二", "一万二"), ("一百八十个日历日", "180个日历日"), ("十日", "10日"), ("5万元", "50000元"), ("五万元", "50000元"), ("二零二六年", "2026年"), ("百分之三十", "30%"), ("十个亿", "十个亿"), ("统一标准", "统一标准"), ("一百零八天", "108天"), ("12.5万元", "125000元")]
+
+
+@query(f"SELECT * FROM (VALUES {_values(_NUMERALS)}) t(text, rewritten)")
+def cn_number_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N2, N3; the SQL states the expected values."""
+    rows = spark.createDataFrame([(t,) for t, _ in _NUMERALS], "text string")
+    return rows.select("text", X.normalized(F.col("text"), case=False, punctuation=False, space=False).alias("rewritten"))
+
+
+_ENTITIES = [
+    (1, 0, "date", "2026年9月30日"), (1, 0, "amount", "50000元"), (1, 0, "duration", "3年"), (1, 1, "date", "2026年9月30日"), (1, 1, "amount", "80000元"), (1, 1, "duration", "3年"),
+    (2, 0, "duration", "180个日历日"), (2, 1, "duration", "180个日历日"), (4, 0, "amount", "1250000元"), (4, 0, "duration", "4个月"), (4, 1, "amount", "125000元"), (4, 1, "duration", "4个月"),
+]
+
+
+@query()
+def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7 on clauses normalized by default, which drops the percent and decimal signs first."""
+    return _clauses(spark).select("clause", "doc", F.posexplode("entities").alias("place", "e")).select("clause", "doc", "place", "e.kind", "e.value")
+
+
+@query("SELECT * FROM (VALUES (1, 'high', 'amount'), (3, 'high', 'subject')) t(clause, risk, fields)")
+def fact_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1-X7; the SQL states the expected conflicts. Clauses 2 and 4 say the same in other numerals."""
+    told = facts.with_facts(_clauses(spark).withColumn("entities", E.entities(X.normalized(F.col("text"), punctuation=False))))
+    told = told.select(F.col("clause").alias("group"), "doc", "fact")
+    found = facts.fact_conflicts(told)
+    return found.select(F.col("group").alias("clause"), "risk", F.array_join(F.col("fields.field"), ",").alias("fields"))
+
+
+@query(f"WITH {O.FEATURES}, d AS (SELECT job_id, doc_id, text, lead(text) OVER (PARTITION BY doc_id ORDER BY order_index) AS next FROM comp WHERE chunk_type = 'paragraph' AND order_index < 4) SELECT doc_id, text AS left_text, next AS right_text FROM d WHERE next IS NOT NULL")
+def graded_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1-D4 between neighbouring chunks; what is checked is that the script rebuilds both sides."""
+    nxt = F.lead("text").over(Window.partitionBy("doc_id").orderBy("order_index"))
+    rows = _light(spark, sf_dir).filter("chunk_type = 'paragraph' and order_index < 4").withColumn("next", nxt).filter("next is not null")
+    ops = rows.withColumn("ops", D.diff_column(F.col("text"), F.col("next"), F.lit(False)))
+
+    def side(skip: str) -> F.Column:
+        return F.array_join(F.transform(F.filter("ops", lambda o: o["op"] != skip), lambda o: o["text"]), "")
+
+    return ops.select("doc_id", side("ins").alias("left_text"), side("del").alias("right_text"))
+
+
+# ----------------------------------------------------------- lists and control
+_SEVERITY = "CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'medium' WHEN '3-MEDIUM' THEN 'low' ELSE 'review' END"
+
+
+@query(f"""SELECT o_orderkey, {_SEVERITY} AS severity, o_totalprice AS score FROM orders
+ORDER BY CASE {_SEVERITY} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100""")
+def cluster_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 with orders as clusters: the third page of 50."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_SEVERITY).alias("severity"), F.col("o_totalprice").alias("score"))
+    return listing.cluster_page(rows, 50, 100, ident=["o_orderkey"])[0]
+
+
+@query(f"SELECT o_orderkey, {_SEVERITY} AS severity FROM orders WHERE {_SEVERITY} = 'high' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_suppkey = 7)")
+def cluster_semi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P6, J12 with orders as clusters and suppliers as documents."""
+    rows = _table(spark, sf_dir, "orders").select(F.lit(0).alias("job_id"), F.col("o_orderkey").alias("cluster_no"), F.expr(_SEVERITY).alias("severity"))
+    members = _table(spark, sf_dir, "lineitem").select(F.lit(0).alias("job_id"), F.col("l_orderkey").alias("cluster_no"), F.col("l_suppkey").alias("doc_id"))
+    out = listing.filtered_clusters(rows, members, doc_id=7, severity="high")
+    return out.select(F.col("cluster_no").alias("o_orderkey"), "severity")
+
+
+@query(f"""WITH {O.COMPONENTS}, best_pair AS (SELECT job_id, doc_a, doc_b FROM matrix WHERE doc_a < doc_b QUALIFY row_number() OVER (ORDER BY round(sim, 9) DESC, job_id, doc_a, doc_b) = 1)
+SELECT p.job_id, p.text AS text_a, q.text AS text_b, d.cluster_type, round(avg_score, 6) AS score
+FROM best_pair t JOIN primary_member p ON p.job_id = t.job_id AND p.doc_id = doc_a JOIN primary_member q ON q.job_id = t.job_id AND q.doc_id = doc_b AND q.root = p.root
+JOIN described d ON d.job_id = p.job_id AND d.root = p.root ORDER BY avg_score DESC, p.root LIMIT 40""")
+def pair_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9 for the most similar pair of documents of all jobs."""
+    result = _result(spark, sf_dir)
+    top = result.matrix.filter("doc_a < doc_b").orderBy(F.desc(F.round("sim", 9)), "job_id", "doc_a", "doc_b").first()
+    a, b = (top["doc_a"], top["doc_b"]) if top else (-1, -1)
+    texts = listing.pair_texts(result.members, result.chunks, result.clusters, a, b)
+    return texts.select("job_id", "text_a", "text_b", "cluster_type", _r6("score").alias("score"))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest_event_type, count(*) AS n FROM events GROUP BY user_id")
+def latest_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J14, A8 with events as jobs and users as workspaces."""
+    return listing.latest_by(_table(spark, sf_dir, "events"), ["user_id"], "event_type", "ts", "event_id")
+
+
+@query("SELECT n_name, count(DISTINCT c_custkey) AS documents, count(o_orderkey) AS jobs FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name")
+def workspace_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over left joins; orders are counted per customer first."""
+    nation, customer = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    jobs = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("jobs"))
+    rows = customer.join(jobs, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey").agg(F.count("*").alias("documents"), F.sum("jobs").alias("jobs"))
+    out = nation.join(rows, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    return out.select("n_name", F.coalesce("documents", F.lit(0).cast("long")).alias("documents"), F.coalesce("jobs", F.lit(0).cast("long")).alias("jobs"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS level FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def json_level_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5."""
+    out = _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("level"))
+    return out.filter("level is not null")
+
+
+@query("""SELECT event_id FROM events WHERE NOT coalesce(event_type IN ('purchase', 'click') AND NOT coalesce(user_id % 7 = 0, false)
+  AND ts < (SELECT max(ts) FROM events) - INTERVAL 10 DAY, false)""")
+def retention_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished unstarred jobs older than ten days go; real timestamps, so no day is lost."""
+    events = _table(spark, sf_dir, "events")
+    now = F.lit(events.agg(F.max("ts")).first()[0])
+    jobs = events.select("event_id", F.col("event_type").alias("status"), (F.col("user_id") % 7 == 0).alias("starred"), F.col("ts").alias("finished_at"))
+    return listing.retained(jobs, now, 10, ["purchase", "click"]).select("event_id")
+
+
+@query("""WITH lines AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_quantity >= 45 GROUP BY ALL)
+SELECT o_orderkey, o_orderstatus, coalesce(n, 0) AS n FROM orders LEFT JOIN lines ON l_orderkey = o_orderkey WHERE o_orderstatus != 'F'""")
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with status F are deleted with their lines; a left outer count of what is left."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    gone = orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = _table(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select("l_orderkey")
+    kept = listing.without_children(lines, gone, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    out = orders.filter("o_orderstatus != 'F'").join(kept, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return out.select("o_orderkey", "o_orderstatus", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("""SELECT doc_id, quality, toxic FROM (
+  SELECT doc_id, quality, toxic, row_number() OVER (PARTITION BY doc_id ORDER BY layer DESC) AS rn
+  FROM (SELECT doc_id, quality, toxic, 0 AS layer FROM labels UNION ALL SELECT doc_id, 1, 0, 1 FROM documents WHERE n_chars < 500)) WHERE rn = 1""")
+def upsert_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short documents' labels replace the stored ones."""
+    stored = _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    new = _docs(spark, sf_dir).filter("n_chars < 500").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    return listing.upserted(stored, new, ["doc_id"])
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
