@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches
+
 TEMPLATE = (
     "{% for m in messages %}{{ '<|im_start|>' + (m.role | header) + '\\n' }}"
     "{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}"
@@ -428,6 +430,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, piece_chars:
         if done:
             yield table()
 
+    bounded_batches(rows.sparkSession)
     rows = rows.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.mapInPandas(of, PIECES)
 

@@ -23,6 +23,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of 8 MB: a worker then needs little memory whatever the texts' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -20,6 +20,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches
+
 #: One edit for each so many characters of an item; pieces are then about as long.
 CHARS_PER_EDIT = 20
 #: Items of fewer characters say too little to be looked for.
@@ -174,6 +176,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", ma
     equal texts each match. Repeated rows and null ids of documents are matched one
     by one; items with a null id are left out. Without items the result is empty.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"))
     out = docs.select(F.col("_id").alias(id_col), F.lit(None).cast(f"struct<{MATCH}>").alias("m")).filter("false").select(id_col, "m.*")
     for items in _known(benchmark, max_chars):
@@ -188,6 +191,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, max_chars: int = MAX_CHARS
     Each row is judged by its own text, so nothing is shuffled and null or repeated
     ids do not matter.
     """
+    bounded_batches(docs.sparkSession)
     for items in _known(benchmark, max_chars):
         of = _matches(docs.sparkSession.sparkContext.broadcast(items))
         docs = docs.filter(F.size(of("text")) == 0)

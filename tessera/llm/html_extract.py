@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches
+
 # Names of the HTML standard and usual class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -274,6 +276,7 @@ def extract_main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0
     sorted array of 8 bytes each while there are at most ``broadcast_keys``; beyond
     that each page gets its own keys by a join.
     """
+    bounded_batches(pages.sparkSession)
     spark = pages.sparkSession
     work = pages.withColumn("_host", host_of(F.col("url")))
     found = site_templates(work.select(F.col("_host").alias("host"), "html"), min_pages, min_share).distinct()

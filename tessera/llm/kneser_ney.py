@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed
+from tessera.llm.common import bounded_batches, checkpointed
 
 ORDER = 4
 ALPHABET = 48
@@ -150,18 +150,18 @@ def train(texts: DataFrame) -> DataFrame:
 
 def dense(order: np.ndarray, gram: np.ndarray, p: np.ndarray, bow: np.ndarray) -> np.ndarray:
     """Natural log-probability of every possible ORDER-gram (float32), seen or backed off."""
-    lower = np.full(1, 1.0 / ALPHABET)
+    lower = np.full(1, 1.0 / ALPHABET, dtype=np.float32)
     for k in range(1, ORDER + 1):
-        weight = np.ones(ALPHABET ** (k - 1))
+        weight = np.ones(ALPHABET ** (k - 1), dtype=np.float32)
         at = (order == k - 1) & ~np.isnan(bow)
         weight[gram[at]] = bow[at]
         # an unseen n-gram has what its context leaves to the n-gram without its first symbol
-        full = (np.tile(lower, ALPHABET).reshape(ALPHABET ** (k - 1), ALPHABET) if k > 1 else np.full((1, ALPHABET), lower[0])) * weight[:, None]
+        full = (np.tile(lower, ALPHABET).reshape(ALPHABET ** (k - 1), ALPHABET) if k > 1 else np.full((1, ALPHABET), lower[0], dtype=np.float32)) * weight[:, None]
         full = full.ravel()
         at = (order == k) & ~np.isnan(p)
         full[gram[at]] = p[at]
         lower = full
-    return np.log(lower).astype(np.float32)
+    return np.log(lower, out=lower)
 
 
 # ---------------------------------------------------------------------- scoring
@@ -258,6 +258,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, low: float = 0.002, high:
     are kept. Repeated rows, also of ids, are judged one by one; a null id is
     never trusted.
     """
+    bounded_batches(docs.sparkSession)
     clash = [c for c in ("n", "logp", "perplexity", "z", "z_low", "z_high", "keep", "_trusted") if c in docs.columns]
     docs = docs.drop(*clash)
     good = F.min(F.when((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False)), 1).otherwise(0))
@@ -273,6 +274,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, low: float = 0.002, high:
     rest = limits.filter("lang is null").first()
     mean, z_low, z_high = (rest["mean"], rest["z_low"], rest["z_high"]) if rest else (None, None, None)
     limits = limits.filter("lang is not null").select(F.col("lang").alias("_lang"), F.col("mean").alias("_mean"), F.col("z_low").alias("_low"), F.col("z_high").alias("_high"))
+    if limits.count() <= 100_000:  # a row per language with enough trusted texts: the texts need not be shuffled
+        limits = F.broadcast(limits)
     out = scored.join(limits, scored["lang"] == limits["_lang"], "left")
     out = out.withColumn("_mean", F.coalesce("_mean", F.lit(mean).cast("double")))
     out = out.withColumn("z_low", F.coalesce("_low", F.lit(z_low).cast("double")) * (1 + slack))

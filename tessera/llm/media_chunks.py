@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bounded_batches
+
 UNIT = 192
 PAD = b" "
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 256, 11, 16_384
@@ -236,6 +238,7 @@ def media_column(docs: DataFrame, broadcast_digests: int = 1_000_000) -> DataFra
     damaged chunk fails the job.
     """
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     several = _digests(docs).groupBy("digest").count().filter("count > 1").select("digest")
     head = several.limit(broadcast_digests + 1).collect()

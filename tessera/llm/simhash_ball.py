@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed
+from tessera.llm.common import bounded_batches, checkpointed
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -90,6 +90,8 @@ def word_set_fingerprints(text: str | None, views: int) -> list[int]:
 def with_fingerprint(docs: DataFrame, text_col: str = "text", k: int = 4, out: str = "fp") -> DataFrame:
     """Add the shingle fingerprint (BIGINT, the 64 bits as they are). Null or empty text: 0."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("long")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
@@ -101,6 +103,8 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", k: int = 4, out: s
 def with_word_set_fingerprints(docs: DataFrame, text_col: str = "text", views: int = 6, out: str = "fps") -> DataFrame:
     """Add an array of ``views`` word-set fingerprints. Null or empty text: zeros."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf("array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
