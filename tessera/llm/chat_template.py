@@ -173,6 +173,9 @@ def parse(source: str) -> list[tuple]:
     stack: list[list] = [["root", None, []]]
     for part in parts:
         body = stack[-1][2]
+        tag = re.match(r"\{([{%#])", part)
+        if tag and not part.endswith({"{": "}}", "%": "%}", "#": "#}"}[tag[1]]) or not tag and re.search(r"\{[{%#]", part):
+            raise TemplateError(f"a tag has no end in {part!r}")
         if part.startswith("{{"):
             body.append(("out", _Expression(part[2:-2]).parse()))
         elif part.startswith("{%"):
