@@ -17,15 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from tessera.functions.text import gram_set
+
 MIN_SHARED, MIN_STOP_DF, TFIDF_FLOOR, SEMANTIC_FLOOR, SEMANTIC_K = 3, 256, 0.25, 0.78, 5
 ROWS, COLUMNS = 1024, 4096
 PAIRS = "job_id long, a long, b long, lexical double, char_ngram double, shared int, by_hash boolean, by_ngram boolean, by_tfidf boolean"
 
 
-def gram_set(text: str) -> set[str]:
-    return {text[i : i + n] for n in (2, 3) for i in range(len(text) - n + 1)}
-
-
 def _incidence(items: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(row, column, value, columns) of counts; columns in order of first appearance."""
     ids: dict = {}
@@ -117,10 +115,15 @@ def candidate_pairs(chunks: DataFrame, top_k: int = 100, exhaustive: bool = Fals
 
 
 def hash_pairs(chunks: DataFrame, column: str = "normalized_hash") -> DataFrame:
-    """Pairs of equal chunks of different documents of a job, as an equi-join."""
-    a = chunks.select("job_id", column, F.col("cid").alias("a"), F.col("doc_id").alias("doc_a"))
-    b = chunks.select("job_id", column, F.col("cid").alias("b"), F.col("doc_id").alias("doc_b"))
-    return a.join(b, ["job_id", column]).filter("a < b and doc_a != doc_b").select("job_id", "a", "b", "doc_a", "doc_b")
+    """Pairs of equal chunks of different documents of a job.
+
+    One aggregation finds the equal chunks; only groups of several documents, at
+    most one job's chunks each, are written out as pairs.
+    """
+    groups = chunks.groupBy("job_id", column).agg(F.array_sort(F.collect_list(F.struct("cid", "doc_id"))).alias("same")).filter(F.size("same") > 1)
+    sides = groups.select("job_id", F.explode("same").alias("x"), "same").select("job_id", "x", F.explode("same").alias("y"))
+    sides = sides.filter("x.cid < y.cid and x.doc_id != y.doc_id")
+    return sides.select("job_id", F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b"))
 
 
 def exploded_candidates(grams: DataFrame, sizes: DataFrame, top_k: int = 100) -> DataFrame:

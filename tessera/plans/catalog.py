@@ -49,6 +49,11 @@ def _r6(c: str) -> F.Column:
     return F.round(F.col(c).cast("double"), 6)
 
 
+def _half_up6(c: str) -> F.Column:
+    """Six digits by plain double arithmetic: ratios of small integers can lie exactly between two, where engines differ."""
+    return F.floor(F.col(c) * 1000000 + 0.5) / 1000000
+
+
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraph chunks with what the cheap queries need, all in the JVM."""
     docs = _docs(spark, sf_dir).select("doc_id", "text").repartition(F.expr("doc_id div 10"))
@@ -125,7 +130,7 @@ def import_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {O.GRAMS} SELECT cid, size AS n_grams FROM sizes")
 def char_ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the number of different 2- and 3-grams of each chunk."""
-    out = _light(spark, sf_dir).select("cid", F.size(X.char_grams(F.col("normalized"))).cast("long").alias("n_grams"))
+    out = _light(spark, sf_dir).select("cid", X.gram_count(F.col("normalized")).alias("n_grams"))
     return out.filter("n_grams > 0")
 
 
@@ -218,11 +223,11 @@ def recall_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.hash_pairs(_light(spark, sf_dir)).select("job_id", "a", "b")
 
 
-@query(f"WITH {O.GRAMS} SELECT job_id, a, b, shared, round(char_ngram, 6) AS char_ngram FROM by_ngram JOIN overlap USING (job_id, a, b)")
+@query(f"WITH {O.GRAMS} SELECT job_id, a, b, shared, floor(char_ngram * 1000000 + 0.5) / 1000000 AS char_ngram FROM by_ngram JOIN overlap USING (job_id, a, b)")
 def recall_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J3, ranked by the exact Jaccard similarity that MinHash estimates."""
     pairs = recall.candidate_pairs(_light(spark, sf_dir)).filter("by_ngram")
-    return pairs.select("job_id", "a", "b", F.col("shared").cast("long").alias("shared"), _r6("char_ngram").alias("char_ngram"))
+    return pairs.select("job_id", "a", "b", F.col("shared").cast("long").alias("shared"), _half_up6("char_ngram").alias("char_ngram"))
 
 
 @query(f"WITH {O.TFIDF} SELECT job_id, a, b, round(lexical, 6) AS lexical FROM by_tfidf JOIN dots USING (job_id, a, b)")
@@ -263,11 +268,11 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- pair scores
-@query(f"WITH {O.SCORED} SELECT job_id, a, b, round(lexical, 6) AS lexical, round(char_ngram, 6) AS char_ngram, round(order_score, 6) AS order_score, round(final_score, 6) AS final_score FROM scored")
+@query(f"WITH {O.SCORED} SELECT job_id, a, b, round(lexical, 6) AS lexical, floor(char_ngram * 1000000 + 0.5) / 1000000 AS char_ngram, round(order_score, 6) AS order_score, round(final_score, 6) AS final_score FROM scored")
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1-K4; these texts have no entities and no section paths, so those dimensions do not count."""
     scored = _result(spark, sf_dir).scored
-    return scored.select("job_id", "a", "b", *[_r6(c).alias(c) for c in ("lexical", "char_ngram", "order_score", "final_score")])
+    return scored.select("job_id", "a", "b", _half_up6("char_ngram").alias("char_ngram"), *[_r6(c).alias(c) for c in ("lexical", "order_score", "final_score")])
 
 
 @query(f"WITH {O.SCORED} SELECT job_id, a, b, threshold, round(final_score, 6) AS final_score FROM edges")
