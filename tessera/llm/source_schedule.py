@@ -38,7 +38,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
     The cap of the sources with the least cap per weight binds first, so resharing
     until none is above its cap is one pass over the sources in that order: the
-    first that fits its share of what is left gets it, and so do all after it.
+    first whose share of what is left fits gets it, and so do all after it. The level
+    (share per weight) rises up to that source and falls after it: it is the greatest.
     Sources without words have the target 0.
     """
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -51,7 +52,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     every = Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
     ranked = ranked.withColumn("level", left / F.sum("weight").over(after))
-    fits = F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every)
+    fits = F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every)
     return ranked.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("weight") * fits, F.col("cap").cast("double")))).select(
         "source", "rank", "weight", "source_size", "target"
     )
@@ -108,7 +109,7 @@ def mix_sources(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     pieces = pieces.withColumn("part", F.when(F.col("size") > 0, part).otherwise(F.lit(0)))
     blocks = targets.select("rank", F.expr(f"(source_size + {block} - 1) div {block}").alias("blocks"))
     taken = source_slots(targets, n).join(blocks, "rank").filter(F.col("r") < F.col("blocks") * MAX_EPOCHS)
-    taken = taken.groupBy("rank", (F.col("r") % F.col("blocks")).alias("blk")).agg(F.count("*").alias("times"))
+    taken = taken.groupBy("rank", (F.col("r") % F.greatest("blocks", F.lit(1))).alias("blk")).agg(F.count("*").alias("times"))
     joined = pieces.join(taken, ["rank", "blk"], "left")
     keys = ["rank", "b", "copy", "doc_id", "source", "size", "source_size", "target"]
     out = joined.groupBy(*keys).agg(F.sum(F.col("part") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
@@ -124,7 +125,7 @@ levelled AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
          / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
   FROM ranked),
-fit AS (SELECT min(level) AS level FROM levelled WHERE cap / weight >= level),
+fit AS (SELECT max(level) AS level FROM levelled WHERE cap / weight >= level),
 targets AS (SELECT source, rank, source_size, least(cap::DOUBLE, coalesce(weight * (SELECT level FROM fit), cap::DOUBLE)) AS target FROM levelled),
 shape AS (
   SELECT t.total, greatest(1, (t.total + {SLOTS} - 1) // {SLOTS})::BIGINT AS block FROM (SELECT coalesce(sum(source_size), 0)::BIGINT AS total FROM targets) t),

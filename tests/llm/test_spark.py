@@ -241,11 +241,11 @@ def test_pipeline_keeps_clean_and_drops_copies_and_leaks(spark, tmp_path):
 
     clean = [(i, sentence(i, 200).translate(str.maketrans("", "", "0123456789")) + f" end {sentence(i + 500, 40)}", "en", f"s{i % 4}", 0) for i in range(150)]
     copies = [(1000 + i, clean[i][1], "en", "s0", 0) for i in range(10)]
-    leak = [(2000, clean[149][1] + " what exactly is the name of the longest river in the whole of that country", "en", "s1", 0)]
+    leak = [(2000, clean[149][1] + " " + sentence(900, 25), "en", "s1", 0)]
     junk = [(3000 + i, "ABC!! " * 200, "en", "s1", 0) for i in range(3)] + [(None, clean[60][1] + " x", "en", "s2", 0), (4000, None, None, None, None)]
     spark.createDataFrame(clean[:149] + copies + leak + junk, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(140)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, "What exactly is the name of the longest river in the whole of that country")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, sentence(900, 25).upper())], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out{k}")
