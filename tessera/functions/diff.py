@@ -27,7 +27,7 @@ def _edits(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     n, m = len(a), len(b)
     reach, trail = {1: 0}, []
     for d in range(n + m + 1):
-        trail.append(dict(reach))
+        trail.append({k: reach[k] for k in range(-d - 1, d + 2) if k in reach})
         for k in range(-d, d + 1, 2):
             x = reach[k + 1] if k == -d or k != d and reach[k - 1] < reach[k + 1] else reach[k - 1] + 1
             while x < n and x - k < m and a[x] == b[x - k]:

@@ -467,17 +467,19 @@ def fact_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("group").alias("clause"), "risk", F.array_join(F.col("fields.field"), ",").alias("fields"))
 
 
-@query(f"WITH {O.FEATURES}, d AS (SELECT job_id, doc_id, text, lead(text) OVER (PARTITION BY doc_id ORDER BY order_index) AS next FROM comp WHERE chunk_type = 'paragraph' AND order_index < 4) SELECT doc_id, text AS left_text, next AS right_text FROM d WHERE next IS NOT NULL")
+@query(f"WITH {O.SCORED} SELECT a, b, x.text AS left_text, y.text AS right_text FROM edges JOIN comp x ON x.cid = a JOIN comp y ON y.cid = b")
 def graded_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1-D4 between neighbouring chunks; what is checked is that the script rebuilds both sides."""
-    nxt = F.lead("text").over(Window.partitionBy("doc_id").orderBy("order_index"))
-    rows = _light(spark, sf_dir).filter("chunk_type = 'paragraph' and order_index < 4").withColumn("next", nxt).filter("next is not null")
-    ops = rows.withColumn("ops", D.diff_column(F.col("text"), F.col("next"), F.lit(False)))
+    """D1-D5 of all similar pairs; what is checked is that the script rebuilds both sides."""
+    result = _result(spark, sf_dir)
+    text = result.chunks.select("cid", "text", "chunk_type")
+    pairs = result.edges.select("a", "b").join(text.withColumnsRenamed({"cid": "a", "text": "ta", "chunk_type": "ka"}), "a").join(text.withColumnsRenamed({"cid": "b", "text": "tb", "chunk_type": "kb"}), "b")
+    rows = (F.col("ka") == "table_row") & (F.col("kb") == "table_row")
+    ops = pairs.withColumn("ops", D.diff_column(F.col("ta"), F.col("tb"), rows))
 
     def side(skip: str) -> F.Column:
         return F.array_join(F.transform(F.filter("ops", lambda o: o["op"] != skip), lambda o: o["text"]), "")
 
-    return ops.select("doc_id", side("ins").alias("left_text"), side("del").alias("right_text"))
+    return ops.select("a", "b", side("ins").alias("left_text"), side("del").alias("right_text"))
 
 
 # ----------------------------------------------------------- lists and control
