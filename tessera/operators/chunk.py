@@ -186,21 +186,6 @@ def with_rel_pos(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.withColumn("rel_pos", F.when(n > 1, F.col("order_index") / (n - 1)).otherwise(F.lit(0.0)))
 
 
-def _term_counts(tokens: Column) -> Column:
-    return F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("t"), F.size(F.filter(tokens, lambda x: x == t)).alias("n")))
-
-
-def token_cosine(a: Column, b: Column) -> Column:
-    """Cosine of raw token counts; 0 if either side is empty."""
-
-    def dot(x: Column, y: Column) -> Column:
-        pairs = F.transform(x, lambda p: p["n"] * F.aggregate(F.filter(y, lambda q: q["t"] == p["t"]), F.lit(0), lambda s, q: s + q["n"]))
-        return F.aggregate(pairs, F.lit(0), lambda s, v: s + v)
-
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
-
-
 def template_scores(chunks: DataFrame, templates: DataFrame) -> DataFrame:
     """``chunks(key, tokens)`` that share a token with one of ``templates(template_id, tokens)``: key, template_id, cosine.
 
