@@ -160,4 +160,4 @@ collusion AS (
   LEFT JOIN (SELECT job_id, count(*) FILTER (WHERE n_docs >= 3) AS multi, count(*) AS clusters FROM described GROUP BY ALL) USING (job_id)
   LEFT JOIN (SELECT job_id, count(*) AS terms FROM shared GROUP BY ALL) USING (job_id)
   LEFT JOIN (SELECT job_id, count(*) AS flagged FROM (
-    SELECT doc_id // 10 AS job_id, count(*) OVER (PARTITION BY doc_id // 10, trim(source)) AS n FROM documents WHERE trim(source) != '') WHERE n >= 2 GROUP BY ALL) USING (job_id))"""
+    SELECT doc_id // 10 AS job_id, count(*) OVER (PARTITION BY doc_id // 10, trim(lang)) AS n FROM documents WHERE trim(lang) != '') WHERE n >= 2 GROUP BY ALL) USING (job_id))"""
