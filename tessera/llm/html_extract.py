@@ -175,7 +175,16 @@ def _host_key(host: str, key: int) -> int:
 
 def subtree_keys(html: str | None, host: str) -> list[int]:
     """Keys, each once, of the page's subtrees that may be template."""
-    return sorted({_host_key(host, n.key) for n in _candidates(parse(html))})
+    return _page_keys(html, host)[1]
+
+
+def _page_keys(html: str | None, host: str) -> tuple[int, list[int]]:
+    """(hash of the page's content, subtree keys). The content is the text of its articles, else the whole page."""
+    root = parse(html)
+    found = [n for n, inside in _walk(root) if n.tag == "article" and not inside]
+    texts = [" ".join(" ".join(c for n, _ in _walk(a) for c in n.children if isinstance(c, str)).split()) for a in found]
+    content = "\x00".join(texts) if texts else html or ""
+    return xxhash.xxh64_intdigest(content.encode("utf-8", "surrogatepass")), sorted({_host_key(host, n.key) for n in _candidates(root)})
 
 
 class _Text:
@@ -243,29 +252,34 @@ def host_of(url: Column) -> Column:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """``pages(host, html)`` to one row per page and candidate subtree: host, sig (of the whole page), key."""
+    """``pages(host, html)`` to one row per page and candidate subtree: host, sig (of the whole page), content (of its text), key."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
-                keys = [subtree_keys(h, host) for h, host in zip(part["html"], part["host"], strict=True)]
+                told = [_page_keys(h, host) for h, host in zip(part["html"], part["host"], strict=True)]
                 sigs = [xxhash.xxh64_intdigest((h or "").encode("utf-8", "surrogatepass")) for h in part["html"]]
-                n = [len(k) for k in keys]
+                n = [len(keys) for _, keys in told]
                 yield pd.DataFrame({
                     "host": np.repeat(part["host"].to_numpy(dtype=object), n),
                     "sig": np.repeat(np.array(sigs, dtype=np.uint64).view(np.int64), n),
-                    "key": np.array([k for ks in keys for k in ks], dtype=np.uint64).view(np.int64),
+                    "content": np.repeat(np.array([c for c, _ in told], dtype=np.uint64).view(np.int64), n),
+                    "key": np.array([k for _, keys in told for k in keys], dtype=np.uint64).view(np.int64),
                 })
 
-    return pages.select("host", "html").mapInPandas(of, "host string, sig long, key long")
+    return pages.select("host", "html").mapInPandas(of, "host string, sig long, content long, key long")
 
 
 def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
-    """Keys of subtrees in at least ``min_pages`` different pages and ``min_share`` of all of their host."""
-    hosts = pages.select("host", F.xxhash64("html").alias("sig")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    seen = page_subtrees(pages).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    return seen.join(hosts, "host").filter(F.col("n") >= F.col("pages") * min_share).select("key")
+    """Keys of subtrees in at least ``min_pages`` pages of different content and ``min_share`` of all such of their host.
+
+    Pages with the same article count once, however their surroundings differ.
+    """
+    seen = page_subtrees(pages).select("host", "content", "key").distinct()
+    often = seen.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    return often.join(hosts, "host").filter(F.col("n") >= F.col("pages") * min_share).select("key")
 
 
 def extract_main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, broadcast_keys: int = 1_000_000) -> DataFrame:
@@ -297,7 +311,7 @@ def extract_main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0
         own = [frozenset(np.asarray(k, dtype=np.int64).view(np.uint64).tolist()) if k is not None else frozenset() for k in keys]
         return pd.Series([extract(h, host, k) for h, host, k in zip(htmls, hosts, own, strict=True)], dtype=object)
 
-    pairs = page_subtrees(work.select(F.col("_host").alias("host"), "html")).distinct().join(found, "key")
+    pairs = page_subtrees(work.select(F.col("_host").alias("host"), "html")).select("host", "sig", "key").distinct().join(found, "key")
     keys = pairs.groupBy(F.col("host").alias("_h"), F.col("sig").alias("_s")).agg(F.collect_set("key").alias("_keys"))
 
     @F.pandas_udf("long")

@@ -75,7 +75,7 @@ def test_near_duplicate_groups_catch_copies(spark):
 
 def test_html_templates_are_cut_by_both_paths(spark):
     rows = [(i, f"http://h.com/{i}", f"<body><div class=box><span>Follow us</span></div><p>text {i}</p></body>") for i in range(12)]
-    rows += [(90 + i, "http://h.com/c", "<body><article><p>copied</p></article></body>") for i in range(9)]
+    rows += [(90 + i, "http://h.com/c", f"<body><i>{i}</i><article><div>copied</div></article></body>") for i in range(9)]
     rows += [(50, None, None), (51, "x", ""), (None, "http://o.org", "<div class=box><span>Follow us</span></div><p>t")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1))
     for limit in (1000, 0):
