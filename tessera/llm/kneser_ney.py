@@ -168,8 +168,9 @@ def dense(order: np.ndarray, gram: np.ndarray, p: np.ndarray, bow: np.ndarray) -
 _cached: tuple[int, np.ndarray] = (-1, np.empty(0))
 
 
-def _scores_in_tasks(docs: DataFrame, model: list) -> DataFrame:
-    columns = [np.array([r[i] for r in model], dtype=t) for i, t in enumerate((np.int8, np.int32, np.float64, np.float64))]
+def _scores_in_tasks(docs: DataFrame, model: DataFrame) -> DataFrame:
+    rows = model.select("order", "gram", "p", "bow").toArrow()  # columns, 28 bytes an entry
+    columns = [rows.column(i).to_numpy().astype(t) for i, t in enumerate((np.int8, np.int32, np.float64, np.float64))]
     shared = docs.sparkSession.sparkContext.broadcast(columns)
     ident = id(shared)
 
@@ -220,7 +221,7 @@ def score(docs: DataFrame, model: DataFrame, broadcast_entries: int = 6_000_000)
     head = model.limit(broadcast_entries + 1)
     size = head.count()
     if size <= broadcast_entries:
-        scored = _scores_in_tasks(docs, [(r[0], r[1], np.nan if r[2] is None else r[2], np.nan if r[3] is None else r[3]) for r in model.toLocalIterator()])
+        scored = _scores_in_tasks(docs, model)
     else:
         scored = _scores_by_join(docs, model)
     return scored.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))))
