@@ -157,16 +157,21 @@ def flat_lines(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_chunks(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """Paragraph chunks of texts without headings, in the JVM: doc_id, chunk_type, text, order_index, cid.
+    """Paragraph chunks of texts without headings, in the JVM: doc_id, doc_rows, order_index, chunk_type, text, cid.
 
-    Lines are ordered within their document only; the window is the document's.
+    A document's lines are an array of its row, so their order and number need
+    neither a window nor a shuffle.
     """
-    lines = flat_lines(docs).filter("row is null or row != ''")
-    kind = F.when(F.col("row").isNotNull(), "table_row").when(X.is_list_line(F.col("line")), "list_item").otherwise("paragraph")
-    chunks = lines.select("doc_id", "line_no", kind.alias("chunk_type"), F.coalesce("row", "line").alias("text"))
-    chunks = chunks.filter(F.length("text") >= min_chars)
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1
-    return chunks.withColumn("order_index", order).withColumn("cid", F.col("doc_id") * ID_STEP + F.col("order_index"))
+    lines = F.filter(F.transform(F.split("text", "\n"), X.trimmed), lambda line: line != "")
+
+    def part(line: Column) -> Column:
+        row = X.table_row(line)
+        kind = F.when(row.isNotNull(), "table_row").when(X.is_list_line(line), "list_item").otherwise("paragraph")
+        return F.struct(kind.alias("chunk_type"), F.coalesce(row, line).alias("text"))
+
+    parts = docs.select("doc_id", F.filter(F.transform(lines, part), lambda p: F.length(p["text"]) >= min_chars).alias("parts"))
+    out = parts.select("doc_id", F.size("parts").alias("doc_rows"), F.posexplode("parts").alias("order_index", "part"))
+    return out.select("doc_id", "doc_rows", "order_index", "part.*", (F.col("doc_id") * ID_STEP + F.col("order_index")).alias("cid"))
 
 
 def with_features(chunks: DataFrame, language: str = "auto", case: bool = True, punctuation: bool = True, space: bool = True) -> DataFrame:
@@ -181,8 +186,8 @@ def with_features(chunks: DataFrame, language: str = "auto", case: bool = True,
 
 
 def with_rel_pos(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """C11: order_index / (rows - 1) among the document's rows; 0 if it has one."""
-    n = F.count("*").over(Window.partitionBy(*keys))
+    """C11: order_index / (rows - 1) among the document's rows; 0 if it has one. ``doc_rows`` has the number if it is there."""
+    n = F.col("doc_rows") if "doc_rows" in chunks.columns else F.count("*").over(Window.partitionBy(*keys))
     return chunks.withColumn("rel_pos", F.when(n > 1, F.col("order_index") / (n - 1)).otherwise(F.lit(0.0)))
 
 
