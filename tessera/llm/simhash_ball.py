@@ -28,12 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.minhash import _A, _B
 from tessera.llm.common import bounded_batches, checkpointed
 from tessera.llm.components import connected_components
 
 BITS = 64
 #: Variants that one receiving task compares at a time, about; 40 bytes each.
 VARIANTS_PER_TASK = 2_000_000
+#: Bands of MinHash values that near-duplicate candidates come from: a pair of similarity s shares none with (1 - s**5)**25.
+BANDS, BAND_ROWS = 25, 5
 
 
 # ----------------------------------------------------------------- fingerprints
@@ -72,19 +75,29 @@ def shingle_fingerprint(text: str | None, k: int = 4) -> int:
     return _majority(shingle_hashes(text, k))
 
 
-def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    """An independent second hash of 64-bit hashes (two multiply-xorshift steps)."""
-    x = x ^ np.uint64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
+    """The distinct hashes of the text's k-word shingles, in order."""
+    return np.unique(shingle_hashes(text, k))
 
 
-def word_set_fingerprints(text: str | None, views: int) -> list[int]:
-    """``views`` independent fingerprints of the set of words."""
-    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), dtype=np.uint64, count=len(words))
-    return [_majority(_mixed(h, v + 1)) for v in range(views)]
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One key per band: the hash of its BAND_ROWS MinHash values and its number. None for no shingle."""
+    if not len(shingles):
+        return np.empty(0, dtype=np.int64)
+    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[at : at + 1024, None] * _A[None, : len(least)] + _B[None, : len(least)]).min(axis=0))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], dtype=np.uint64).view(np.int64)
+
+
+def similar(x: bytes, y: bytes, threshold: float) -> bool:
+    """Whether the Jaccard similarity of two shingle sets is at least ``threshold``."""
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= threshold * (len(a) + len(b) - both)
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", k: int = 4, out: str = "fp") -> DataFrame:
@@ -100,17 +113,20 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", k: int = 4, out: s
     return docs.withColumn(out, of(text_col))
 
 
-def with_word_set_fingerprints(docs: DataFrame, text_col: str = "text", views: int = 6, out: str = "fps") -> DataFrame:
-    """Add an array of ``views`` word-set fingerprints. Null or empty text: zeros."""
+def _digest(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
 
-    bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<long>")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([np.array(word_set_fingerprints(t, views), dtype=np.uint64).view(np.int64) for t in s])
+def _prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for s in batches:
+        sets = [shingle_set(t) for t in s]
+        yield pd.DataFrame({"node": [_digest(x) for x in sets], "keys": [band_keys(x) for x in sets]})
 
-    return docs.withColumn(out, of(text_col))
+
+def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for s in batches:
+        sets = [shingle_set(t) for t in s]
+        yield pd.DataFrame({"node": [_digest(x) for x in sets], "shingles": [x.tobytes() for x in sets]})
 
 
 # ------------------------------------------------------------------ ball hashing
@@ -217,25 +233,57 @@ def with_components(docs: DataFrame, id_col: str = "doc_id", fp_col: str = "fp",
     return docs.join(named, docs[fp_col] == named["_fp"]).drop("_fp")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", views: int = 6, radius: int = 4) -> DataFrame:
-    """One row per distinct id: ``(id, component_id)`` under word-set fingerprints.
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose shingle sets are similar enough."""
+
+    @F.pandas_udf("boolean")
+    def alike(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([similar(x, y, threshold) for x, y in zip(xs, ys, strict=True)], dtype=bool)
+
+    a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(x)) for n, x in (("u", "x"), ("v", "y")))
+    return checkpointed(pairs.join(a, "u").join(b, "v").filter(alike("x", "y")).select("u", "v"))
 
-    Texts link if any of ``views`` independent fingerprints of their word sets
-    are within ``radius`` of 64 bits. One fingerprint of the five-word shingles
-    is about 10 bits away at a similarity of 0.8, beyond any ball that can be
-    written out; a word changed in a text costs its word set one element and its
-    shingles five, so the word set is within 4 bits about half of the time, and
-    with six views nearly always. Null ids are left out; copies of an id count
-    as one document.
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """One row per distinct id: ``(id, component_id)`` of texts with a five-word-shingle Jaccard similarity of ``threshold``.
+
+    Texts with equal shingle sets are one node. Nodes are compared where they share
+    one of BANDS keys of BAND_ROWS MinHash values, which two texts with a similarity
+    of 0.8 miss once in 20,000. First each is compared with one node of its bucket;
+    then all pairs of a bucket that are not in one component yet are. Every link is
+    verified by the exact similarity, and components are those of all pairs that
+    share a key. Null ids are left out; copies of an id count as one document, and
+    texts without words are equal.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null")
-    prints = checkpointed(with_word_set_fingerprints(rows, "_text", views, "_fps").select("_id", "_fps"))
-    flat = prints.select("_id", F.posexplode("_fps").alias("view", "fp"))
-    nodes = checkpointed(flat.groupBy("view", "fp").agg(F.min("_id").alias("_least")))
-    links = fingerprint_links(nodes.select("view", "fp"), radius)
-    a, b = nodes.select("view", F.col("fp").alias("u"), F.col("_least").alias("a")), nodes.select("view", F.col("fp").alias("v"), F.col("_least").alias("b"))
-    near = links.join(a, ["view", "u"]).join(b, ["view", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    equal = flat.join(nodes, ["view", "fp"]).select(F.col("_id").alias("u"), F.col("_least").alias("v"))
-    roots = connected_components(near.union(equal))
+    # not deterministic, so that no filter repeats them
+    prints_of = F.pandas_udf(_prints, "node long, keys array<long>").asNondeterministic()
+    sets_of = F.pandas_udf(_sets, "node long, shingles binary").asNondeterministic()
+    prints = checkpointed(rows.select("_id", prints_of("_text").alias("p")).select("_id", "p.*"))
+    nodes = checkpointed(prints.groupBy("node").agg(F.min("_id").alias("_least"), F.first("keys").alias("keys")))
+    buckets = nodes.select("node", F.explode("keys").alias("key"))
+    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    members = checkpointed(buckets.join(hubs, "key").select("key", "node", "hub"))
+    # the sets of nodes that meet another one, from one text each
+    met = checkpointed(members.select("node").distinct().join(nodes.select("node", "_least"), "node").select(F.col("node").alias("_node"), "_least"))
+    met = F.broadcast(met) if met.count() <= broadcast_ids else met.hint("shuffle_merge")
+    sets = rows.join(met, F.col("_id") == F.col("_least")).select("_node", sets_of("_text").alias("s")).filter("_node = s.node")
+    sets = checkpointed(sets.select("s.*").dropDuplicates(["node"]))
+    star = checkpointed(members.filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
+    links = _verified(star, sets, threshold)
+    roots = connected_components(links).withColumnRenamed("node", "_node")
+    placed = members.join(roots, members["node"] == roots["_node"], "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
+    open_ = checkpointed(placed.join(mixed.select("key", F.col("most.comp").alias("main")), "key"))
+    a = open_.filter("comp != main").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
+    b = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), "main")
+    rest = a.join(b, "key").filter("ca != cb and (cb = main or a < b)").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    links = links.union(_verified(rest.join(star, ["u", "v"], "left_anti"), sets, threshold))
+    least = nodes.select("node", "_least")
+    near = links.join(least.select(F.col("node").alias("u"), F.col("_least").alias("a")), "u").join(least.select(F.col("node").alias("v"), F.col("_least").alias("b")), "v")
+    equal = prints.select("_id", "node").join(least, "node").select(F.col("_id").alias("u"), F.col("_least").alias("v"))
+    roots = connected_components(near.select(F.col("a").alias("u"), F.col("b").alias("v")).union(equal))
     ids = prints.select("_id").distinct()
     return ids.join(roots, ids["_id"] == roots["node"], "left").select(F.col("_id").alias(id_col), F.coalesce("root", "_id").alias("component_id"))

@@ -73,6 +73,35 @@ def test_near_duplicate_groups_catch_copies(spark):
     assert None not in got
 
 
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_duplicate_groups_are_those_of_exact_similarity(spark):
+    texts = {}
+    for i in range(12):
+        base = " ".join(f"b{i}x{j % 90 if i % 2 else j}" for j in range(300))
+        texts |= {i: base, 100 + i: base + " " + " ".join(f"p{i}y{j}" for j in range(10 + 8 * i)), 200 + i: " ".join(sorted(base.split()))}
+        texts |= {300 + i: base + " " + " ".join(f"p{i}y{j}" for j in range(40 + 30 * i))}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    for i in sorted(texts):
+        for j in sorted(texts):
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_ball.near_duplicate_groups(df).collect()}
+    assert got == {i: find(i) for i in texts}
+    assert 12 < len(set(got.values())) < len(texts)
+
+
 def test_html_templates_are_cut_by_both_paths(spark):
     rows = [(i, f"http://h.com/{i}", f"<body><div class=box><span>Follow us</span></div><p>text {i}</p></body>") for i in range(12)]
     rows += [(90 + i, "http://h.com/c", f"<body><i>{i}</i><article><div>copied</div></article></body>") for i in range(9)]
