@@ -1,8 +1,8 @@
 """Text quality by perplexity under an interpolated modified Kneser-Ney model of symbols.
 
 The model is trained on all trusted text and scores every document. Its units are
-the characters, folded by a fixed rule into ALPHABET symbols, so n-grams of order
-ORDER number at most ALPHABET ** ORDER (5.3 million) for any amount of text.
+the characters as they are, each a code point of its own; n-grams have the order
+ORDER, and their number grows with the trusted text.
 
 Training: every task counts the n-grams of its part; the counts are sharded by
 n-gram and summed; context totals, continuation counts and the discounts of each
@@ -10,9 +10,9 @@ order come from sharded aggregations and joins of those counts. The probability
 every seen n-gram and the backoff weight of every seen context are joined order by
 order.
 
-Scoring: a document's n-grams meet the model in its own task while the model has
-at most ``broadcast_entries`` n-grams (8 bytes each); a larger one is joined with
-the n-grams of the documents by shards. Perplexities then become z: how many times
+Scoring: the n-gram counts of the documents are joined with the model by shards,
+order by order. A really small model, of at most ``broadcast_entries`` rows, is
+sent to the texts instead, with the same result. Perplexities then become z: how many times
 its standard error a text's mean log-probability is off the mean of its language's
 trusted text. A text is rejected if z is outside of the language's quantiles.
 """
@@ -24,12 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, checkpointed
 
 ORDER = 4
+#: Bits of a code point in a context, and the number of code points.
+WIDTH = 21
+CHARACTERS = 0x110000
 ALPHABET = 48
 _RULES = ["blank", "newline", *"abcdefghijklmnopqrstuvwxyz", "upper", "digit", *".,'-|", "quote", "bracket", "punctuation", "symbol", "other"]
 _FOLDS = ALPHABET - len(_RULES)
@@ -86,23 +89,57 @@ def ngrams(text: str) -> np.ndarray:
     return out
 
 
+# The folded symbols above and dense() are held by tests; no query uses them.
+def dense(order: np.ndarray, gram: np.ndarray, p: np.ndarray, bow: np.ndarray) -> np.ndarray:
+    """Natural log-probability of every possible ORDER-gram (float32), seen or backed off."""
+    lower = np.full(1, 1.0 / ALPHABET, dtype=np.float32)
+    for k in range(1, ORDER + 1):
+        weight = np.ones(ALPHABET ** (k - 1), dtype=np.float32)
+        at = (order == k - 1) & ~np.isnan(bow)
+        weight[gram[at]] = bow[at]
+        # an unseen n-gram has what its context leaves to the n-gram without its first symbol
+        full = (np.tile(lower, ALPHABET).reshape(ALPHABET ** (k - 1), ALPHABET) if k > 1 else np.full((1, ALPHABET), lower[0], dtype=np.float32)) * weight[:, None]
+        full = full.ravel()
+        at = (order == k) & ~np.isnan(p)
+        full[gram[at]] = p[at]
+        lower = full
+    return np.log(lower, out=lower)
+
+
+# ------------------------------------------------------------------ character n-grams
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, symbol, text) per character: the ORDER - 1 code points before it in one number, its own, and the text's place."""
+    parts = [np.frombuffer(("\n" * (ORDER - 1) + t).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
+    lengths = np.array([len(p) for p in parts], dtype=np.int64)
+    cps = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    own = np.ones(len(cps), dtype=bool)
+    for i in range(ORDER - 1):
+        own[starts + i] = False
+    at = np.nonzero(own)[0]
+    context = np.zeros(len(at), dtype=np.int64)
+    for i in range(ORDER - 1, 0, -1):
+        context = context << WIDTH | cps[at - i]
+    return context, cps[at], np.repeat(np.arange(len(texts)), lengths - (ORDER - 1))
+
+
+def _distinct(context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (context, symbol), and which of them each is."""
+    contexts, at = np.unique(context, return_inverse=True)
+    keys, which = np.unique(at << WIDTH | symbol, return_inverse=True)
+    return contexts[keys >> WIDTH], keys & (1 << WIDTH) - 1, which
+
+
 # --------------------------------------------------------------------- training
 def count_ngrams(texts: DataFrame) -> DataFrame:
-    """``texts(text)`` to ``(gram, c)`` of all ORDER-grams; nulls count as empty."""
+    """``texts(text)`` to ``(context, symbol, c)`` of all ORDER-grams of characters; nulls count as empty."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(ALPHABET**ORDER, dtype=np.int64)
         for pdf in batches:
-            for text in pdf["text"]:
-                if text:
-                    grams, n = np.unique(ngrams(text), return_counts=True)
-                    total[grams] += n
-        seen = np.nonzero(total)[0]
-        for at in range(0, len(seen), 100_000):
-            part = seen[at : at + 100_000]
-            yield pd.DataFrame({"gram": part.astype(np.int64), "c": total[part]})
+            context, symbol, which = _distinct(*_characters([t for t in pdf["text"] if t])[:2])
+            yield pd.DataFrame({"context": context, "symbol": symbol, "c": np.bincount(which, minlength=len(context))})
 
-    return texts.select("text").mapInPandas(of, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInPandas(of, "context long, symbol long, c long").groupBy("context", "symbol").agg(F.sum("c").alias("c"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -114,80 +151,91 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.0), i + 1.0) for i in range(3)]
 
 
+def _lower(context: Column, k: int) -> Column:
+    """The last k - 2 characters of the k - 1 of a context of order k."""
+    return context.bitwiseAND(F.lit((1 << WIDTH * (k - 2)) - 1))
+
+
 def train(texts: DataFrame) -> DataFrame:
-    """The model as rows: order, gram, p (log10-free natural probability), bow.
+    """The model as rows: order, context, symbol, v.
 
-    p: interpolated probability of a seen n-gram's last symbol after the rest.
-    bow: weight that a seen context of ``order`` symbols gives to the next lower
-    order. Rows hold either or both. No text at all gives an empty model.
+    v: interpolated probability of the symbol after the context of order - 1
+    characters; with symbol -1 the weight that the context gives to the next lower
+    order. No text at all gives an empty model.
     """
     counts = {ORDER: checkpointed(count_ngrams(texts))}
-    for k in range(ORDER - 1, 0, -1):  # below the highest order: in how many contexts does it continue?
-        counts[k] = checkpointed(counts[k + 1].groupBy((F.col("gram") % ALPHABET**k).alias("gram")).agg(F.count("*").alias("c")))
-    seen = counts[1].agg(F.sum("c"), F.count("*")).first()
-    if not seen[1]:
-        return counts[1].select(F.lit(1).alias("order"), "gram", F.lit(0.0).alias("p"), F.lit(None).cast("double").alias("bow"))
+    for k in range(ORDER, 1, -1):  # below the highest order: in how many contexts does it continue?
+        counts[k - 1] = checkpointed(counts[k].groupBy(_lower(F.col("context"), k).alias("context"), "symbol").agg(F.count("*").alias("c")))
     below, rows = None, []
     for k in range(1, ORDER + 1):
         d = _discounts(counts[k])
         off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        level = counts[k].withColumn("context", F.expr(f"gram div {ALPHABET}")).withColumn("off", off)
+        level = counts[k].withColumn("off", off)
         contexts = level.groupBy("context").agg(F.sum("c").alias("total"), F.sum("off").alias("mass"))
         contexts = contexts.select("context", "total", F.expr("mass / total").alias("bow"))
-        level = level.join(contexts, "context").withColumn("lower", F.expr(f"gram % {ALPHABET ** (k - 1)}"))
+        level = level.join(contexts, "context")
         if below is None:
-            level = level.withColumn("q", F.lit(1.0 / ALPHABET))
+            level = level.withColumn("q", F.lit(1.0 / CHARACTERS))
         else:
-            level = level.join(below.select(F.col("gram").alias("lower"), F.col("p").alias("q")), "lower")
-        below = checkpointed(level.select("gram", F.expr("(c - off) / total + bow * q").alias("p")))
-        rows.append(below.select(F.lit(k).alias("order"), "gram", "p", F.lit(None).cast("double").alias("bow")))
-        rows.append(contexts.select(F.lit(k - 1).alias("order"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), "bow"))
+            level = level.withColumn("lower", _lower(F.col("context"), k)).join(below.select(F.col("context").alias("lower"), "symbol", F.col("v").alias("q")), ["lower", "symbol"])
+        below = checkpointed(level.select("context", "symbol", F.expr("(c - off) / total + bow * q").alias("v")))
+        rows.append(below.select(F.lit(k).alias("order"), "context", "symbol", "v"))
+        rows.append(contexts.select(F.lit(k).alias("order"), "context", F.lit(-1).cast("long").alias("symbol"), F.col("bow").alias("v")))
     out = rows[0]
     for r in rows[1:]:
         out = out.union(r)
-    return out.groupBy("order", "gram").agg(F.max("p").alias("p"), F.max("bow").alias("bow"))
-
-
-def dense(order: np.ndarray, gram: np.ndarray, p: np.ndarray, bow: np.ndarray) -> np.ndarray:
-    """Natural log-probability of every possible ORDER-gram (float32), seen or backed off."""
-    lower = np.full(1, 1.0 / ALPHABET, dtype=np.float32)
-    for k in range(1, ORDER + 1):
-        weight = np.ones(ALPHABET ** (k - 1), dtype=np.float32)
-        at = (order == k - 1) & ~np.isnan(bow)
-        weight[gram[at]] = bow[at]
-        # an unseen n-gram has what its context leaves to the n-gram without its first symbol
-        full = (np.tile(lower, ALPHABET).reshape(ALPHABET ** (k - 1), ALPHABET) if k > 1 else np.full((1, ALPHABET), lower[0], dtype=np.float32)) * weight[:, None]
-        full = full.ravel()
-        at = (order == k) & ~np.isnan(p)
-        full[gram[at]] = p[at]
-        lower = full
-    return np.log(lower, out=lower)
+    return out
 
 
 # ---------------------------------------------------------------------- scoring
-_cached: tuple[int, np.ndarray] = (-1, np.empty(0))
+class Lookup:
+    """The model's rows in sorted arrays, 16 bytes each."""
+
+    def __init__(self, order: np.ndarray, context: np.ndarray, symbol: np.ndarray, v: np.ndarray):
+        self.levels = []
+        for k in range(1, ORDER + 1):
+            at = (order == k) & (symbol < 0)
+            by = np.argsort(context[at])
+            contexts, weights = context[at][by], v[at][by]
+            at = (order == k) & (symbol >= 0)
+            keys = np.searchsorted(contexts, context[at]) << WIDTH | symbol[at]
+            by = np.argsort(keys)
+            self.levels.append((contexts, weights, keys[by], v[at][by]))
+
+    def logp(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each symbol after its context, seen or backed off."""
+        p = np.full(len(context), 1.0 / CHARACTERS)
+        for k, (contexts, weights, keys, v) in enumerate(self.levels, 1):
+            own = context & (1 << WIDTH * (k - 1)) - 1
+            if not len(contexts):
+                continue
+            at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
+            known = contexts[at] == own
+            p = np.where(known, weights[at], 1.0) * p
+            key = at << WIDTH | symbol
+            to = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            p = np.where(known & (keys[to] == key), v[to], p)
+        return np.log(p)
+
+
+_cached: tuple[int, Lookup | None] = (-1, None)
 
 
 def _scores_in_tasks(docs: DataFrame, model: DataFrame) -> DataFrame:
-    rows = model.select("order", "gram", "p", "bow").toArrow()  # columns, 28 bytes an entry
-    columns = [rows.column(i).to_numpy().astype(t) for i, t in enumerate((np.int8, np.int32, np.float64, np.float64))]
-    shared = docs.sparkSession.sparkContext.broadcast(columns)
+    rows = model.select("order", "context", "symbol", "v").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast([rows.column(i).to_numpy() for i in range(4)])
     ident = id(shared)
 
     @F.pandas_udf("n long, logp double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         global _cached
         if _cached[0] != ident:
-            _cached = (ident, dense(*shared.value))
-        table = _cached[1]
+            _cached = (ident, Lookup(*shared.value))
         for texts in batches:
-            n = np.zeros(len(texts), dtype=np.int64)
-            logp = np.zeros(len(texts))
-            for i, text in enumerate(texts):
-                if text:
-                    grams = ngrams(text)
-                    n[i], logp[i] = len(grams), table[grams].sum(dtype=np.float64)
-            yield pd.DataFrame({"n": n, "logp": logp})
+            context, symbol, text = _characters([t or "" for t in texts])
+            contexts, symbols_, which = _distinct(context, symbol)
+            lp = _cached[1].logp(contexts, symbols_)[which]
+            yield pd.DataFrame({"n": np.bincount(text, minlength=len(texts)), "logp": np.bincount(text, lp, minlength=len(texts))})
 
     return docs.withColumn("_s", of("text")).select("*", F.col("_s.n").alias("n"), F.col("_s.logp").alias("logp")).drop("_s")
 
@@ -198,25 +246,27 @@ def _scores_by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row, text in zip(pdf["_row"], pdf["text"], strict=True):
-                grams, n = np.unique(ngrams(text), return_counts=True) if text else (np.empty(0, int), np.empty(0, int))
-                yield pd.DataFrame({"_row": row, "gram": grams.astype(np.int64), "k": n.astype(np.int64)})
+                if text:
+                    context, symbol, which = _distinct(*_characters([text])[:2])
+                    yield pd.DataFrame({"_row": row, "context": context, "symbol": symbol, "k": np.bincount(which)})
 
     keyed = docs.withColumn("_row", F.sha2(F.concat_ws("\x01", F.col("doc_id").cast("string"), F.col("text")), 256))
-    counts = keyed.select("_row", "text").distinct().mapInPandas(of, "_row string, gram long, k long")
-    grams = counts.select("gram").distinct()
-    p = F.lit(1.0 / ALPHABET)
+    counts = keyed.select("_row", "text").distinct().mapInPandas(of, "_row string, context long, symbol long, k long")
+    grams = counts.select("context", "symbol").distinct()
+    p = F.lit(1.0 / CHARACTERS)
     for k in range(1, ORDER + 1):
-        probs = model.filter(F.col("order") == k).select(F.col("gram").alias(f"g{k}"), F.col("p").alias(f"p{k}"))
-        bows = model.filter(F.col("order") == k - 1).select(F.col("gram").alias(f"c{k}"), F.col("bow").alias(f"b{k}"))
-        own = F.col("gram") % ALPHABET**k
-        grams = grams.join(probs, own == F.col(f"g{k}"), "left").join(bows, F.floor(own / ALPHABET) == F.col(f"c{k}"), "left")
+        level = model.filter(F.col("order") == k)
+        grams = grams.withColumn("_own", F.col("context").bitwiseAND(F.lit((1 << WIDTH * (k - 1)) - 1)))
+        probs = level.filter("symbol >= 0").select(F.col("context").alias("_own"), "symbol", F.col("v").alias(f"p{k}"))
+        bows = level.filter("symbol < 0").select(F.col("context").alias("_own"), F.col("v").alias(f"b{k}"))
+        grams = grams.join(probs, ["_own", "symbol"], "left").join(bows, "_own", "left").drop("_own")
         p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"b{k}"), F.lit(1.0)) * p)
-    sums = counts.join(grams.select("gram", F.log(p).alias("lp")), "gram").groupBy("_row").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("lp")).alias("logp"))
+    sums = counts.join(grams.select("context", "symbol", F.log(p).alias("lp")), ["context", "symbol"]).groupBy("_row").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("lp")).alias("logp"))
     out = keyed.join(sums, "_row", "left").drop("_row")
     return out.withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "logp": F.coalesce("logp", F.lit(0.0))})
 
 
-def score(docs: DataFrame, model: DataFrame, broadcast_entries: int = 6_000_000) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, broadcast_entries: int = 1_000_000) -> DataFrame:
     """Add n (characters), logp (their sum) and perplexity to ``docs(doc_id, text, ...)``; null or empty text: 0, 0, null."""
     head = model.limit(broadcast_entries + 1)
     size = head.count()

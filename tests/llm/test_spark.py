@@ -148,6 +148,24 @@ def test_quality_rejects_junk_and_both_scorings_agree(spark):
     assert kneser_ney.judge_quality(docs, labels.limit(0)).filter("keep").count() == 176
 
 
+def test_model_keeps_every_character_apart(spark):
+    greek = ["".join(chr(0x3B1 + (i * j + j // 3) % 8) for j in range(60)) for i in range(1, 6)]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in greek], "text string")).persist()
+    folded_alike = ["".join(chr(ord(c) + 8) for c in t) for t in greek]
+    df = spark.createDataFrame(list(enumerate(greek + folded_alike)), "doc_id long, text string")
+    for limit in (1_000_000, 0):
+        got = {r["doc_id"]: r["perplexity"] for r in kneser_ney.score(df, model, limit).collect()}
+        assert max(got[i] for i in range(5)) * 10 < min(got[i] for i in range(5, 10))
+    grams = {t[max(0, i - 3) : i + 1].rjust(4, "\n") for t in greek for i in range(len(t))}
+    assert model.filter("order = 4 and symbol >= 0").count() == len(grams)
+    context = model.filter("order = 4 and symbol >= 0").first()["context"]
+    lookup = kneser_ney.Lookup(*[model.toPandas()[c].to_numpy() for c in ("order", "context", "symbol", "v")])
+    every = range(kneser_ney.CHARACTERS)
+    import numpy as np
+
+    assert abs(np.exp(lookup.logp(np.full(len(every), context), np.array(every))).sum() - 1) < 1e-6
+
+
 def test_chat_digests(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a<|im_end|>b"), (1, 1, "assistant", None), (None, None, None, None), (2, 5, "system", "s\nt")]
     df = chat_template.with_hostile_conversation(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(0)))
