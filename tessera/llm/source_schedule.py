@@ -8,7 +8,8 @@ whose stretch of the cumulative weights the point falls owns the slot. Any run o
 slots then has every source in its share, within the sequence's low discrepancy.
 The slots of a source are ranked; its documents, shuffled by a hash of their id,
 are cut into blocks of equally many words, and the slot of rank r takes block
-r mod blocks. A document's taken words are those of its taken blocks.
+r mod blocks. A document's taken words are those of its taken blocks. A source that
+is small beside the mix has smaller blocks, and a stretch that is longer by as much.
 
 DataFrame functions only. A source with a third of all rows is ordered in hash
 buckets of which each is sorted by itself; blocks and slots meet by (source, block).
@@ -16,6 +17,8 @@ buckets of which each is sorted by itself; blocks and slots meet by (source, blo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -26,6 +29,8 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 #: Slots of the whole mix, about: a block has 1/SLOTS of all words.
 SLOTS = 100_000
+#: A source of fewer blocks than this has blocks of its own, as many at least as its words allow.
+LEAST_BLOCKS = 1_000
 #: The golden ratio's fraction as 62 bits, so that frac(i * ratio) is exact integer arithmetic on both engines.
 GOLDEN = 618_033_988_749_895
 MODULUS = 1_000_000_000_000_000
@@ -59,14 +64,14 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def source_slots(targets: DataFrame, n: int) -> DataFrame:
-    """``n`` slots to ``(rank, r)``: the source of each and its rank among the source's slots, for r below its blocks times epochs.
+    """``n`` slots to ``(rank, r)``: the source of each, by ``targets(rank, share)``, and its rank among the source's slots.
 
     The point of a slot and the stretches of the sources meet in CELLS cells.
     """
     spark = targets.sparkSession
     upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = targets.withColumn("hi", F.sum("target").over(upto) / F.sum("target").over(whole))
+    ends = targets.withColumn("hi", F.sum("share").over(upto) / F.sum("share").over(whole))
     ends = ends.withColumn("hi", F.floor(F.col("hi") * MODULUS).cast("long"))
     ends = ends.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("rank")), F.lit(0).cast("long")))
     last = F.col("rank") == F.max("rank").over(whole)
@@ -92,10 +97,16 @@ def mix_sources(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     targets = checkpointed(source_targets(rows))
     total = targets.agg(F.sum("source_size")).first()[0] or 0
     block = max(1, -(-total // slots))
-    n = -(-total // block)
+    own = F.greatest(F.lit(1), F.expr(f"source_size div {LEAST_BLOCKS}"))
+    targets = targets.withColumn("block", F.least(F.lit(block), own).cast("long"))
+    # words of the target if each slot took a common block
+    share = F.when(F.col("block") == block, F.col("target")).otherwise(F.col("target") * block / F.col("block"))
+    targets = checkpointed(targets.withColumn("share", share))
+    smaller = targets.filter((F.col("block") < block) & (F.col("source_size") > 0)).agg(F.count("*")).first()[0]
+    n = math.ceil(targets.agg(F.sum("share")).first()[0] / block) if smaller else -(-total // block)
     # where each document starts in its source's shuffled order: bucket totals first, then within the bucket
     keyed = rows.withColumn("k", F.expr(_ORDER_KEY)).withColumn("b", F.expr("substring(k, 1, 3)"))
-    short = targets.select(F.col("source").alias("_source"), "rank", "source_size", "target")
+    short = targets.select(F.col("source").alias("_source"), "rank", "source_size", "target", "block")
     keyed = keyed.join(short, keyed["source"].eqNullSafe(short["_source"])).drop("_source")
     sums = keyed.groupBy("rank", "b").agg(F.sum("size").alias("in_bucket"))
     earlier = Window.partitionBy("rank").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,10 +115,10 @@ def mix_sources(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     placed = keyed.withColumn("upto", F.sum("size").over(inside)).withColumn("copy", F.row_number().over(inside))
     placed = placed.join(sums, ["rank", "b"]).withColumn("start", F.col("offset") + F.col("upto") - F.col("size"))
     # the blocks that it reaches into, with the number of slots that take each
-    pieces = placed.withColumn("blk", F.explode(F.expr(f"if(size > 0, sequence(start div {block}, (start + size - 1) div {block}), array(-1L))")))
-    part = F.expr(f"least(start + size, (blk + 1) * {block}) - greatest(start, blk * {block})")
+    pieces = placed.withColumn("blk", F.explode(F.expr("if(size > 0, sequence(start div block, (start + size - 1) div block), array(-1L))")))
+    part = F.expr("least(start + size, (blk + 1) * block) - greatest(start, blk * block)")
     pieces = pieces.withColumn("part", F.when(F.col("size") > 0, part).otherwise(F.lit(0)))
-    blocks = targets.select("rank", F.expr(f"(source_size + {block} - 1) div {block}").alias("blocks"))
+    blocks = targets.select("rank", F.expr("(source_size + block - 1) div block").alias("blocks"))
     taken = source_slots(targets, n).join(blocks, "rank").filter(F.col("r") < F.col("blocks") * MAX_EPOCHS)
     taken = taken.groupBy("rank", (F.col("r") % F.greatest("blocks", F.lit(1))).alias("blk")).agg(F.count("*").alias("times"))
     joined = pieces.join(taken, ["rank", "blk"], "left")

@@ -283,6 +283,14 @@ def test_mix(spark):
     assert source_schedule.mix_sources(df.limit(0)).count() == 0
 
 
+def test_small_sources_keep_their_share(spark):
+    rows = [(i, "w " * 20_000, f"big{i % 2}") for i in range(200)] + [(1000 + i, "w " * 10, "tiny") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = source_schedule.mix_sources(df, slots=400).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    for r in got:
+        assert abs(r["taken"] - r["target"]) <= max(10, 0.02 * r["target"]), r
+
+
 def test_pipeline_keeps_clean_and_drops_copies_and_leaks(spark, tmp_path):
     import corpus_pipeline
 
