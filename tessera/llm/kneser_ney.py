@@ -278,33 +278,48 @@ def score(docs: DataFrame, model: DataFrame, broadcast_entries: int = 1_000_000)
 
 
 # ------------------------------------------------------------------- thresholds
-def language_limits(trusted: DataFrame, low: float, high: float, least: int = 100) -> DataFrame:
+def language_limits(trusted: DataFrame, low: float, high: float, prior: int = 100) -> DataFrame:
     """``trusted(lang, n, logp)`` to one row per language: mean, z_low, z_high; and a row with lang null for the rest.
 
-    z = (logp / n - mean) * sqrt(n). Its quantiles are taken over counts of
-    hundredths, which any number of rows can be summed into. Languages with fewer
-    than ``least`` trusted texts use the limits of all.
+    z = (logp / n - mean) * sqrt(n), off the language's own mean. Its quantiles are
+    taken over counts of hundredths, which any number of rows can be summed into.
+    A language's own quantiles count by its texts, those of all languages' z by
+    ``prior`` texts; as its mean is uncertain too, the limits are wider by
+    sqrt(1 + 1 / texts). The row for the rest is about the mean of all.
     """
-    both = trusted.filter("n > 0").select(F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("lang"), "n", "logp")
-    means = both.groupBy(F.col("lang").alias("_lang")).agg(F.expr("sum(logp) / sum(n)").alias("mean"), F.count("*").alias("texts"))
-    means = means.filter((F.col("texts") >= least) | F.col("_lang").isNull())
-    off = F.round((F.col("logp") / F.col("n") - F.col("mean")) * F.sqrt("n"), 2)
-    z = both.join(means, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "mean", "texts", off.alias("z"))
-    bins = z.groupBy("lang", "mean", "texts", "z").agg(F.count("*").alias("k"))
-    running = F.expr("sum(k) over (partition by lang order by z)")
-    bins = bins.withColumn("upto", running)
-    return bins.groupBy("lang", "mean").agg(
-        F.min(F.when(F.col("upto") >= F.col("texts") * low, F.col("z"))).alias("z_low"),
-        F.min(F.when(F.col("upto") >= F.col("texts") * high, F.col("z"))).alias("z_high"),
-    )
+
+    def means(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("lang").alias("_lang")).agg(F.expr("sum(logp) / sum(n)").alias("mean"), F.count("*").alias("texts"))
+
+    def binned(rows: DataFrame, mean: DataFrame) -> DataFrame:
+        off = F.round((F.col("logp") / F.col("n") - F.col("mean")) * F.sqrt("n"), 2)
+        z = rows.join(mean, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "mean", "texts", off.alias("z"))
+        return z.groupBy("lang", "mean", "texts", "z").agg(F.count("*").alias("k"))
+
+    def quantiles(bins: DataFrame) -> DataFrame:
+        bins = bins.withColumn("upto", F.expr("sum(k) over (partition by lang order by z)"))
+        at = [F.min(F.when(F.col("upto") >= F.col("texts") * share, F.col("z"))).alias(name) for share, name in ((low, "z_low"), (high, "z_high"))]
+        return bins.groupBy("lang", "mean", "texts").agg(*at)
+
+    known = trusted.filter("n > 0")
+    named = known.filter("lang is not null")
+    every = known.withColumn("lang", F.lit(None).cast("string"))
+    own = checkpointed(binned(named, means(named)))
+    pooled = own.groupBy("z").agg(F.sum("k").alias("k")).withColumn("lang", F.lit("all")).withColumn("mean", F.lit(0.0))
+    pooled = quantiles(pooled.withColumn("texts", F.lit(own.agg(F.sum("k")).first()[0]).cast("long")))
+    pooled = pooled.select(F.col("z_low").alias("_low"), F.col("z_high").alias("_high"))
+    wider = F.sqrt(1 + 1 / F.col("texts"))
+    shrunk = [((F.col(z) * F.col("texts") + F.col(q) * prior) / (F.col("texts") + prior) * wider).alias(z) for z, q in (("z_low", "_low"), ("z_high", "_high"))]
+    limits = quantiles(own).crossJoin(F.broadcast(pooled)).select("lang", "mean", *shrunk)
+    return limits.union(quantiles(binned(every, means(every))).select("lang", "mean", "z_low", "z_high"))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, low: float = 0.002, high: float = 0.998, slack: float = 0.25, broadcast_ids: int = 1_000_000) -> DataFrame:
     """Add n, logp, perplexity, z, z_low, z_high and keep to ``docs(doc_id, text, lang, ...)``.
 
     Trusted text: documents with a label of quality 1 and none of quality 0 or
-    toxic 1. keep: z within the quantiles ``low`` and ``high`` of trusted texts
-    of its language, widened by ``slack`` of their distance to 0. Null and empty
+    toxic 1. keep: z within the limits of its language (see language_limits) for the
+    quantiles ``low`` and ``high``, widened by ``slack`` of their distance to 0. Null and empty
     texts have no perplexity and are rejected. Without any trusted text all others
     are kept. Repeated rows, also of ids, are judged one by one; a null id is
     never trusted.
@@ -325,7 +340,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, low: float = 0.002, high:
     rest = limits.filter("lang is null").first()
     mean, z_low, z_high = (rest["mean"], rest["z_low"], rest["z_high"]) if rest else (None, None, None)
     limits = limits.filter("lang is not null").select(F.col("lang").alias("_lang"), F.col("mean").alias("_mean"), F.col("z_low").alias("_low"), F.col("z_high").alias("_high"))
-    if limits.count() <= 100_000:  # a row per language with enough trusted texts: the texts need not be shuffled
+    if limits.count() <= 100_000:  # a row per language with trusted texts: the texts need not be shuffled
         limits = F.broadcast(limits)
     out = scored.join(limits, scored["lang"] == limits["_lang"], "left")
     out = out.withColumn("_mean", F.coalesce("_mean", F.lit(mean).cast("double")))

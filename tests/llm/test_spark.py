@@ -166,6 +166,14 @@ def test_model_keeps_every_character_apart(spark):
     assert abs(np.exp(lookup.logp(np.full(len(every), context), np.array(every))).sum() - 1) < 1e-6
 
 
+def test_rare_language_has_its_own_limits(spark):
+    rows = [("en", 400, -800.0 + i % 41 - 20) for i in range(2000)] + [("xx", 400, -1200.0 + i - 2) for i in range(5)] + [(None, 400, -800.0)]
+    got = {r["lang"]: r for r in kneser_ney.language_limits(spark.createDataFrame(rows, "lang string, n long, logp double"), 0.002, 0.998).collect()}
+    assert abs(got["xx"]["mean"] + 3) < 0.01 and abs(got["en"]["mean"] + 2) < 0.01
+    assert -1.2 < got["xx"]["z_low"] < -0.9 and 0.9 < got["xx"]["z_high"] < 1.2
+    assert None in got
+
+
 def test_chat_digests(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a<|im_end|>b"), (1, 1, "assistant", None), (None, None, None, None), (2, 5, "system", "s\nt")]
     df = chat_template.with_hostile_conversation(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(0)))
