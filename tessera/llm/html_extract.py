@@ -252,7 +252,7 @@ def host_of(url: Column) -> Column:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """``pages(host, html)`` to one row per page and candidate subtree: host, sig (of the whole page), content (of its text), key."""
+    """``pages(host, html)`` to one row per page and candidate subtree: host, sig (of the whole page), content (of its text), key; and one per page with the key null."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -260,12 +260,14 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
                 part = pdf.iloc[at : at + 256]
                 told = [_page_keys(h, host) for h, host in zip(part["html"], part["host"], strict=True)]
                 sigs = [xxhash.xxh64_intdigest((h or "").encode("utf-8", "surrogatepass")) for h in part["html"]]
-                n = [len(keys) for _, keys in told]
+                n = [len(keys) + 1 for _, keys in told]
+                found = [k for _, keys in told for k in (None, *keys)]
+                key = np.array([k or 0 for k in found], dtype=np.uint64).view(np.int64)
                 yield pd.DataFrame({
                     "host": np.repeat(part["host"].to_numpy(dtype=object), n),
                     "sig": np.repeat(np.array(sigs, dtype=np.uint64).view(np.int64), n),
                     "content": np.repeat(np.array([c for c, _ in told], dtype=np.uint64).view(np.int64), n),
-                    "key": np.array([k for _, keys in told for k in keys], dtype=np.uint64).view(np.int64),
+                    "key": pd.arrays.IntegerArray(key, np.array([k is None for k in found], dtype=bool)),
                 })
 
     return pages.select("host", "html").mapInPandas(of, "host string, sig long, content long, key long")
@@ -277,8 +279,8 @@ def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1)
     Pages with the same article count once, however their surroundings differ.
     """
     seen = page_subtrees(pages).select("host", "content", "key").distinct()
-    often = seen.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    often = seen.filter("key is not null").groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    hosts = seen.filter("key is null").groupBy("host").agg(F.count("*").alias("pages"))
     return often.join(hosts, "host").filter(F.col("n") >= F.col("pages") * min_share).select("key")
 
 

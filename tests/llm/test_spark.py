@@ -116,6 +116,13 @@ def test_html_templates_are_cut_by_both_paths(spark):
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_html_templates_are_cut_on_hosts_of_copies(spark):
+    body = "<body><div class=box><span>Follow us</span></div><article><div class=box><span>Share it</span></div><p>text {}</p></article></body>"
+    rows = [(i, "http://h.com/x", body.format(max(0, i - 110))) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["text"] for r in html_extract.extract_main_text(pages).collect()} == {f"text {i}" for i in range(10)}
+
+
 def test_url_rules_and_reputation(spark):
     urls = ["http://example.org/es/x", "http://example.org/en/12", "https://A.Example.ORG/en/2", "x://shop.com/de/", "x://shop.com/fr/1?q", "x://org/", "x://notorg/", "http://example.org", None, "nothing"]
     rows = list(enumerate(urls)) + [(100 + i, f"http://bad{i % 2}.net/p") for i in range(60)] + [(200 + i, f"http://good{i % 3}.info/p") for i in range(60)]
