@@ -240,11 +240,9 @@ def recall_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def minhash_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F4, F5 on pairs of equal or nearly equal length hash candidates; the signature is not SQL."""
+    """F4, F5 on the pairs of J2 and J3; the signature is not SQL."""
     light = _light(spark, sf_dir)
-    pairs = recall.hash_pairs(light).select("job_id", "a", "b").unionByName(
-        light.groupBy("job_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).filter("a < b").select("job_id", "a", "b")
-    )
+    pairs = recall.candidate_pairs(light).filter("by_hash or by_ngram").select("job_id", "a", "b")
     signed = light.select("cid", M.minhash(X.char_grams(F.col("normalized"))).alias("sig"))
     out = pairs.join(signed.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(signed.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
     return out.select("job_id", "a", "b", X.minhash_similarity(F.col("sa"), F.col("sb")).alias("similarity"))

@@ -159,3 +159,18 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(names) == sorted(got.columns)
     key = lambda row: [str(round(v, 6) + 0.0) if isinstance(v, float) else str(v) for v in row]
     assert sorted(key([r[n] for n in names]) for r in got.collect()) == sorted(key(r) for r in told.fetchall())
+
+
+def test_minhash_similarity_estimates_every_gram_pair(spark):
+    from tessera.functions.minhash import signature
+    from tessera.functions.text import gram_set
+
+    sf_dir = "/root/testdata/sf0.001"
+    light = catalog._light(spark, sf_dir)
+    texts = {r["cid"]: r["normalized"] for r in light.select("cid", "normalized").collect()}
+    every = recall.candidate_pairs(light).filter("by_hash or by_ngram").select("a", "b").collect()
+    got = {(r["a"], r["b"]): r["similarity"] for r in catalog.queries()["minhash_similarity"](spark, sf_dir).collect()}
+    assert got.keys() == {(r["a"], r["b"]) for r in every} and any(0 < s < 1 for s in got.values())
+    for a, b in sorted(got)[:: max(1, len(got) // 50)]:
+        same = signature(sorted(gram_set(texts[a]))) == signature(sorted(gram_set(texts[b])))
+        assert abs(got[a, b] - same.mean()) < 1e-9
