@@ -16,7 +16,9 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -382,33 +384,81 @@ def compile_template(source: str) -> Callable[[dict], tuple[str, list[tuple[int,
     return render
 
 
+def _mentions(tree: object, name: str) -> int:
+    """How often a tree reads, loops over or sets the variable ``name``."""
+    if isinstance(tree, tuple) and tree[:1] in (("name",), ("set",)) and len(tree) > 1 and tree[1] == name:
+        return 1 + sum(_mentions(x, name) for x in tree[2:])
+    return sum(_mentions(x, name) for x in tree) if isinstance(tree, (tuple, list)) else 0
+
+
+def compile_pieces(source: str, piece_chars: int) -> Callable[[Iterable[dict]], Iterator[tuple[str, list[tuple[int, int]]]]]:
+    """A function from a conversation's messages to pieces of its rendered text, each with its generation spans.
+
+    The pieces joined are what ``compile_template`` renders, whatever ``piece_chars``.
+    A template that reads ``messages`` in one outermost loop only, as TEMPLATE does, is
+    rendered turn by turn: ``loop`` runs on, and ``loop.last`` waits for the next turn.
+    Any other template sees all messages at once and gives one piece.
+    """
+    tree = fold(parse(source))
+    loops = [i for i, node in enumerate(tree) if node[0] == "for" and node[2] == ("name", "messages") and node[1] != "messages"]
+    if len(loops) != 1 or _mentions(tree, "messages") != 1:
+        render = compile_template(source)
+
+        def whole(messages: Iterable[dict]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+            yield render({"messages": list(messages)})
+
+        return whole
+    name = tree[loops[0]][1]
+    before, inner, after = _block(tree[: loops[0]]), _block(tree[loops[0]][3]), _block(tree[loops[0] + 1 :])
+
+    def turn_by_turn(messages: Iterable[dict]) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        env, out, ahead, i = {}, Output(), iter(messages), 0
+        before(env, out)
+        saved = {k: env[k] for k in (name, "loop") if k in env}
+        message = next(ahead, None)
+        while message is not None:
+            following = next(ahead, None)
+            env[name], env["loop"] = message, {"index": i + 1, "index0": i, "first": i == 0, "last": following is None}
+            inner(env, out)
+            message, i = following, i + 1
+            if out.length > piece_chars and message is not None:
+                yield "".join(out.parts), out.spans
+                out = Output()
+        for k in (name, "loop"):
+            env.pop(k, None)
+        after(env | saved, out)
+        yield "".join(out.parts), out.spans
+
+    return turn_by_turn
+
+
 # ------------------------------------------------------------------------ Spark
 PIECE_CHARS = 4_000_000
 PIECES = "conv_id long, piece long, text string, spans array<struct<start:long,stop:long>>"
 
 
+def _turns(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, dict]]:
+    for pdf in batches:
+        for conv, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"], strict=True):
+            yield None if pd.isna(conv) else int(conv), {"role": role or "", "text": text or ""}
+
+
 def format_conversations(rows: DataFrame, template: str = TEMPLATE, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """``rows(conv_id, turn, role, text)`` to formatted pieces (conv_id, piece, text, spans).
 
-    A conversation's pieces, in order, are its formatted text; nearly every one is
-    a single piece. A new piece starts before the turn after ``piece_chars``
-    characters, so that a conversation of any length streams through one task in
-    bounded memory. The template is rendered once per piece with the piece's turns
-    as ``messages``; templates must not look at turns other than the current one.
+    A conversation's pieces, in order, are its formatted text, whatever the size of
+    the pieces; nearly every one is a single piece. A new piece starts before the turn
+    after ``piece_chars`` characters, so that a conversation of any length streams
+    through one task in bounded memory, if the template looks at one turn at a time
+    (see compile_pieces); any other template needs the memory for a whole conversation.
 
     Turns are ordered by turn (null first), role and text; equal rows count each.
-    Null roles and texts are empty. A null conv_id is a conversation of its own.
+    Null roles and texts are empty. All rows with a null conv_id are one conversation.
     Pieces of a conversation stay together and in order in one partition.
     """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        render = compile_template(template)
-        done: list[tuple] = []
-        key, piece, turns, size = object(), 0, [], 0
-
-        def close() -> None:
-            text, spans = render({"messages": turns})
-            done.append((key, piece, text, [{"start": a, "stop": b} for a, b in spans]))
+        render, done, size = compile_pieces(template, piece_chars), [], 0
 
         def table() -> pd.DataFrame:
             out = pd.DataFrame(done, columns=["conv_id", "piece", "text", "spans"])
@@ -416,20 +466,13 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, piece_chars:
             done.clear()
             return out
 
-        for pdf in batches:
-            for conv, role, text in zip(pdf["conv_id"], pdf["role"], pdf["text"], strict=True):
-                conv = None if pd.isna(conv) else int(conv)
-                if conv != key or size > piece_chars:
-                    if turns:
-                        close()
-                    piece = piece + 1 if conv == key else 0
-                    key, turns, size = conv, [], 0
-                turns.append({"role": role or "", "text": text or ""})
-                size += len(text or "") + len(role or "")
-                if sum(len(d[2]) for d in done[-1:]) > piece_chars or len(done) >= 1000:
+        for conv, turns in groupby(_turns(batches), key=itemgetter(0)):
+            for piece, (text, spans) in enumerate(render(t for _, t in turns)):
+                done.append((conv, piece, text, [{"start": a, "stop": b} for a, b in spans]))
+                size += len(text)
+                if size > piece_chars or len(done) >= 1000:
                     yield table()
-        if turns:
-            close()
+                    size = 0
         if done:
             yield table()
 

@@ -5,9 +5,11 @@ at least one piece is then there unchanged. All pieces of all items are searched
 at once by an automaton; around each hit the item is compared with the document's
 characters by Myers' bit-parallel approximate matching.
 
+Items too short for an edit are searched exactly, between word boundaries.
+
 The items are a small table: their texts go to the tasks as one broadcast while
-they have at most ``max_chars`` characters; more are searched in several passes of
-that size, so any number of items works in bounded memory.
+they have at most ``max_chars`` characters; more are dealt by hash into passes of
+about that size over the documents, and the driver holds one pass at a time.
 """
 
 from __future__ import annotations
@@ -24,9 +26,8 @@ from tessera.llm.common import bounded_batches
 
 #: One edit for each so many characters of an item; pieces are then about as long.
 CHARS_PER_EDIT = 20
-#: Items of fewer characters say too little to be looked for.
-MIN_CHARS = 20
-MAX_CHARS = 5_000_000
+#: Characters of the items of one pass: their automaton takes some 50 bytes each in every task.
+MAX_CHARS = 2_000_000
 MATCH = "item_id:long,distance:int,edits:int,start:int,stop:int"
 
 
@@ -85,15 +86,21 @@ def pattern_masks(pattern: str) -> dict[str, int]:
     return masks
 
 
+def _bounded(text: str, start: int, stop: int) -> bool:
+    """Whether neither end of the stretch is inside a word."""
+    left = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    return not left and not (stop < len(text) and text[stop].isalnum() and text[stop - 1].isalnum())
+
+
 class Matcher:
-    """Finds a set of (id, normalized item) in texts."""
+    """Finds a set of (id, normalized item) in texts. Empty items are nowhere."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = items
+    def __init__(self, items: list[tuple[int | None, str]]):
+        self.items = [i for i in items if i[1]]
         self.masks: dict[int, dict[str, int]] = {}
         self.automaton = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
-        for i, (_, item) in enumerate(items):
+        for i, (_, item) in enumerate(self.items):
             for offset, piece in pieces(item):
                 found.setdefault(piece, []).append((i, offset))
         for piece, at in found.items():
@@ -110,17 +117,22 @@ class Matcher:
         if not self.items:
             return []
         windows: dict[int, list[list[int]]] = {}
+        exact: dict[int, int] = {}
         for end, (length, at) in self.automaton.iter(text):
             for i, offset in at:
                 start = end + 1 - length - offset
                 k = budget(len(self.items[i][1]))
+                if not k:
+                    if i not in exact and _bounded(text, start, end + 1):
+                        exact[i] = start
+                    continue
                 spans = windows.setdefault(i, [])
                 if spans and start - k <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], start + k)
                     spans[-1][0] = min(spans[-1][0], start - k)
                 else:
                     spans.append([start - k, start + k])
-        out = []
+        out = [(self.items[i][0], 0, 0, start, start + len(self.items[i][1])) for i, start in sorted(exact.items())]
         for i, spans in sorted(windows.items()):
             ident, item = self.items[i]
             k = budget(len(item))
@@ -139,23 +151,17 @@ class Matcher:
         return out
 
 
-def _passes(items: list[tuple[int, str]], max_chars: int) -> Iterator[list[tuple[int, str]]]:
-    part, size = [], 0
-    for item in items:
-        if part and size + len(item[1]) > max_chars:
-            yield part
-            part, size = [], 0
-        part.append(item)
-        size += len(item[1])
-    if part:
-        yield part
-
-
-def _known(benchmark: DataFrame, max_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items, normalized, in passes of ``max_chars`` characters."""
-    known = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null").distinct()
-    items = sorted((r[0], normalize(r[1])) for r in known.toLocalIterator())
-    return _passes([i for i in items if len(i[1]) >= MIN_CHARS], max_chars)
+def _known(benchmark: DataFrame, max_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The benchmark's distinct items, normalized, in passes of about ``max_chars`` characters."""
+    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-chars // max_chars))
+    for i in range(n):
+        alike = F.lower(F.regexp_replace("text", r"(?U)\s+", ""))  # the same for texts with one normalized form
+        part = known.filter(F.pmod(F.xxhash64("item_id", alike), F.lit(n)) == i).distinct()
+        items = {(r[0], normalize(r[1])) for r in part.toLocalIterator()}
+        if items:
+            yield sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
 
 def _matches(items: Broadcast) -> Callable:
@@ -171,10 +177,11 @@ def _matches(items: Broadcast) -> Callable:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", max_chars: int = MAX_CHARS) -> DataFrame:
     """One row per document row and benchmark item that it holds: id, item_id, distance, edits, start, stop.
 
-    start and stop count characters of the normalized text. Null and short items
-    (under MIN_CHARS normalized characters) and null texts match nothing; items with
-    equal texts each match. Repeated rows and null ids of documents are matched one
-    by one; items with a null id are left out. Without items the result is empty.
+    start and stop count characters of the normalized text. Null and empty items and
+    null texts match nothing. Items of fewer than CHARS_PER_EDIT normalized characters
+    match exactly and not inside a word. Items with equal texts each match; an item
+    with a null id has a null item_id. Repeated rows and null ids of documents are
+    matched one by one. Without items the result is empty.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"))

@@ -1,6 +1,7 @@
 """The operators' cores without Spark: brute force, round trips and hostile input."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -45,26 +46,37 @@ def test_html_deep_nesting_and_template_cut():
 
 
 # ------------------------------------------------------------------------- op3
-def test_model_probabilities_sum_to_one():
-    order, gram, p, bow = [], [], [], []
-    rng = np.random.default_rng(1)
-    for k in range(1, K.ORDER + 1):
-        seen = np.unique(rng.integers(0, K.ALPHABET**k, 50))
-        contexts = np.unique(seen // K.ALPHABET)
-        order += [k] * len(seen) + [k - 1] * len(contexts)
-        gram += [*seen, *contexts]
-        p += [0.01] * len(seen) + [np.nan] * len(contexts)
-        bow += [np.nan] * len(seen) + [0.5] * len(contexts)
-    table = K.dense(np.array(order), np.array(gram), np.array(p), np.array(bow))
-    assert table.shape == (K.ALPHABET**K.ORDER,)
-    assert np.isfinite(table).all()
-
-
-def test_ngrams_cover_every_character():
-    assert len(K.ngrams("")) == 0
-    text = "Ab 1é\n😀中"
-    assert len(K.ngrams(text)) == len(text)
-    assert K.ngrams(text).max() < K.ALPHABET**K.ORDER
+@given(st.lists(TEXTS, max_size=8), st.integers(1, 50))
+def test_ngrams_are_those_of_each_text(texts, size):
+    want, got, places = Counter(), Counter(), Counter()
+    for t in texts:
+        want.update(("\n\n\n" + t)[i : i + 4] for i in range(len(t)))
+    old, K.SLICE = K.SLICE, size
+    try:
+        for context, symbol, text in K._characters(texts):
+            places.update(text.tolist())
+            for c, s, n in zip(*(x.tolist() for x in K._distinct(context, symbol)), strict=True):
+                got["".join(chr(c >> 21 * i & (1 << 21) - 1) for i in (2, 1, 0)) + chr(s)] += n
+    finally:
+        K.SLICE = old
+    assert got == want
+    assert places == Counter({i: len(t) for i, t in enumerate(texts) if t})
+
+
+def test_ngrams_of_very_many_kinds_of_characters():
+    text = "".join(chr(c) for c in range(0x1000, 0x1000 + 70_000) if not 0xD800 <= c < 0xE000)
+    (context, symbol, _), *rest = K._characters([text])
+    got = [K._distinct(context, symbol)]
+    assert not rest and sum(len(g[0]) for g in got) == len(text) and sum(g[2].sum() for g in got) == len(text)
+
+
+@given(st.lists(st.tuples(st.integers(0, 2**63 - 1), st.integers(-1, 40)), unique=True, max_size=60))
+def test_hashed_rows_are_found(rows):
+    context, symbol = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+    table = K._Hashed(context, symbol, np.arange(len(rows)) + 0.5)
+    assert table.find(context, symbol).tolist() == [i + 0.5 for i in range(len(rows))]
+    other = np.array([41, 42, 43])
+    assert np.isnan(table.find(np.array([1, 2, 3]), other)).all()
 
 
 # ------------------------------------------------------------------------- op4
@@ -128,6 +140,25 @@ def test_chat_constants_fold():
     assert C.fold(C.parse("{% if 1 + 1 == 2 %}a{{ 'b' ~ 3 }}{% else %}c{% endif %}d")) == [("text", "ab3d")]
 
 
+@pytest.mark.parametrize("source", [
+    C.TEMPLATE, "a{% for m in messages %}{{ loop.index }}{% if loop.first %}^{% endif %}{% generation %}{{ m.text }}{% endgeneration %}{% if loop.last %}${% endif %}{% endfor %}{{ m }}z",
+    "{% set n = 1 %}{% for m in messages %}{{ n }}{% set n = n + 1 %}{% endfor %}{{ n }}", "{{ messages | length }}{% for m in messages %}{{ messages[0].text }}{% endfor %}",
+    "{% if 1 == 2 %}{{ messages }}{% endif %}x", "{% for messages in messages %}{{ messages.role }}{% endfor %}",
+    "{% set m = 7 %}{% for m in messages %}{{ m.role }}{% endfor %}{{ m }}", "{% for m in messages %}{% set messages = 2 %}{{ m.text }}{% endfor %}{{ messages }}",
+])
+def test_pieces_of_any_size_are_the_whole(source):
+    turns = [{"role": "assistant" if i % 2 else "user", "text": "ab" * i} for i in range(7)]
+    for messages in (turns, turns[:1], []):
+        text, spans = C.compile_template(source)({"messages": messages})
+        for size in (0, 5, 10**6):
+            pieces, at, told = list(C.compile_pieces(source, size)(iter(messages))), 0, []
+            for part, marks in pieces:
+                told += [(at + a, at + b) for a, b in marks]
+                at += len(part)
+            assert "".join(p for p, _ in pieces) == text and told == spans
+    assert len(list(C.compile_pieces(C.TEMPLATE, 5)(turns))) > 3
+
+
 # ------------------------------------------------------------------------- op8
 @given(st.binary(max_size=3000), st.integers(1, 12))
 @settings(max_examples=60, deadline=None)
