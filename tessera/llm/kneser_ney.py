@@ -19,7 +19,7 @@ trusted text. A text is rejected if z is outside of the language's quantiles.
 
 from __future__ import annotations
 
-import unicodedata
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,101 +33,54 @@ ORDER = 4
 #: Bits of a code point in a context, and the number of code points.
 WIDTH = 21
 CHARACTERS = 0x110000
-ALPHABET = 48
-_RULES = ["blank", "newline", *"abcdefghijklmnopqrstuvwxyz", "upper", "digit", *".,'-|", "quote", "bracket", "punctuation", "symbol", "other"]
-_FOLDS = ALPHABET - len(_RULES)
-
-
-def _symbol(cp: int) -> int:
-    """The fixed folding rule: a-z, blanks and common marks stand alone, the rest by class."""
-    ch = chr(cp)
-    if ch == "\n":
-        return 1
-    if ch.isspace():
-        return 0
-    if ch in _RULES:
-        return _RULES.index(ch)
-    kind = unicodedata.category(ch)
-    if kind in ("Lu", "Lt"):
-        return _RULES.index("upper")
-    if kind[0] in "LM":
-        return len(_RULES) + cp % _FOLDS
-    if kind[0] == "N":
-        return _RULES.index("digit")
-    if kind in ("Pi", "Pf") or ch == '"':
-        return _RULES.index("quote")
-    if kind in ("Ps", "Pe"):
-        return _RULES.index("bracket")
-    return _RULES.index({"P": "punctuation", "S": "symbol"}.get(kind[0], "other"))
-
-
-_table: np.ndarray | None = None
-
-
-def symbols(text: str) -> np.ndarray:
-    """The text as symbols, with ORDER - 1 newlines before it. Beyond the basic plane all are folded letters."""
-    global _table
-    if _table is None:
-        _table = np.array([_symbol(cp) for cp in range(65_536)], dtype=np.int32)
-    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = np.ones(len(cps) + ORDER - 1, dtype=np.int32)
-    wide = cps >= 65_536
-    out[ORDER - 1 :] = _table[np.where(wide, 0, cps)]
-    if wide.any():
-        out[ORDER - 1 :][wide] = len(_RULES) + cps[wide] % _FOLDS
-    return out
-
-
-def ngrams(text: str) -> np.ndarray:
-    """One ORDER-gram, as a number with ALPHABET as its base, per character."""
-    s = symbols(text)
-    n = len(s) - ORDER + 1
-    out = s[:n].copy()
-    for i in range(1, ORDER):
-        out *= ALPHABET
-        out += s[i : i + n]
-    return out
-
-
-# The folded symbols above and dense() are held by tests; no query uses them.
-def dense(order: np.ndarray, gram: np.ndarray, p: np.ndarray, bow: np.ndarray) -> np.ndarray:
-    """Natural log-probability of every possible ORDER-gram (float32), seen or backed off."""
-    lower = np.full(1, 1.0 / ALPHABET, dtype=np.float32)
-    for k in range(1, ORDER + 1):
-        weight = np.ones(ALPHABET ** (k - 1), dtype=np.float32)
-        at = (order == k - 1) & ~np.isnan(bow)
-        weight[gram[at]] = bow[at]
-        # an unseen n-gram has what its context leaves to the n-gram without its first symbol
-        full = (np.tile(lower, ALPHABET).reshape(ALPHABET ** (k - 1), ALPHABET) if k > 1 else np.full((1, ALPHABET), lower[0], dtype=np.float32)) * weight[:, None]
-        full = full.ravel()
-        at = (order == k) & ~np.isnan(p)
-        full[gram[at]] = p[at]
-        lower = full
-    return np.log(lower, out=lower)
+#: Characters that a task looks at at a time, at about 150 bytes each.
+SLICE = 1 << 19
 
 
 # ------------------------------------------------------------------ character n-grams
-def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, symbol, text) per character: the ORDER - 1 code points before it in one number, its own, and the text's place."""
-    parts = [np.frombuffer(("\n" * (ORDER - 1) + t).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
-    lengths = np.array([len(p) for p in parts], dtype=np.int64)
-    cps = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, dtype=np.int64)
-    starts = np.cumsum(lengths) - lengths
-    own = np.ones(len(cps), dtype=bool)
+def _characters(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, symbol, text) per character, SLICE of them at a time: the ORDER - 1 code points before it in one number, its own, and the text's place."""
+    pad = "\n" * (ORDER - 1)
+    cps = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lengths = np.array([len(t) for t in texts], dtype=np.int64) + ORDER - 1
+    stops = np.cumsum(lengths)
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+    owned = np.ones(len(cps), dtype=bool)
     for i in range(ORDER - 1):
-        own[starts + i] = False
-    at = np.nonzero(own)[0]
-    context = np.zeros(len(at), dtype=np.int64)
-    for i in range(ORDER - 1, 0, -1):
-        context = context << WIDTH | cps[at - i]
-    return context, cps[at], np.repeat(np.arange(len(texts)), lengths - (ORDER - 1))
+        owned[stops[:-1] + i] = False
+    for low in range(ORDER - 1, len(cps), SLICE):
+        part = cps[low - (ORDER - 1) : low + SLICE].astype(np.int64)
+        n = len(part) - (ORDER - 1)
+        context = part[:n]
+        for i in range(1, ORDER - 1):
+            context = context << WIDTH | part[i : i + n]
+        own = owned[low : low + n]
+        yield context[own], part[ORDER - 1 :][own], text_of[low - (ORDER - 1) : low - (ORDER - 1) + n][own]
 
 
 def _distinct(context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (context, symbol), and which of them each is."""
-    contexts, at = np.unique(context, return_inverse=True)
-    keys, which = np.unique(at << WIDTH | symbol, return_inverse=True)
-    return contexts[keys >> WIDTH], keys & (1 << WIDTH) - 1, which
+    """The distinct (context, symbol) and how often each occurs."""
+    parts = [*((context >> WIDTH * i) & (1 << WIDTH) - 1 for i in range(ORDER - 1)), symbol]
+    used = np.zeros(CHARACTERS, dtype=bool)
+    for part in parts:
+        used[part] = True
+    alphabet = np.nonzero(used)[0]
+    if len(alphabet) > 1 << 64 // ORDER:  # so many kinds of characters do not fit in a number: half of the places at a time
+        half = len(context) // 2
+        halves = [_distinct(context[x], symbol[x]) for x in (slice(0, half), slice(half, None))]
+        return tuple(np.concatenate(x) for x in zip(*halves, strict=True))
+    small = np.zeros(CHARACTERS, dtype=np.uint64)
+    small[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+    bits = 64 // ORDER
+    key = small[symbol]
+    for i, part in enumerate(parts[:-1], 1):
+        key |= small[part] << np.uint64(bits * i)
+    keys, counts = np.unique(key, return_counts=True)
+    places = [(keys >> np.uint64(bits * i)) & np.uint64((1 << bits) - 1) for i in range(ORDER)]
+    context = np.zeros(len(keys), dtype=np.int64)
+    for place in places[:0:-1]:
+        context = context << WIDTH | alphabet[place.astype(np.int64)]
+    return context, alphabet[places[0].astype(np.int64)], counts
 
 
 # --------------------------------------------------------------------- training
@@ -136,8 +89,8 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            context, symbol, which = _distinct(*_characters([t for t in pdf["text"] if t])[:2])
-            yield pd.DataFrame({"context": context, "symbol": symbol, "c": np.bincount(which, minlength=len(context))})
+            for context, symbol, _ in _characters([t for t in pdf["text"] if t]):
+                yield pd.DataFrame(dict(zip(("context", "symbol", "c"), _distinct(context, symbol), strict=True)))
 
     return texts.select("text").mapInPandas(of, "context long, symbol long, c long").groupBy("context", "symbol").agg(F.sum("c").alias("c"))
 
@@ -188,54 +141,82 @@ def train(texts: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- scoring
+class _Hashed:
+    """(context, symbol) to v, by open addressing in arrays."""
+
+    def __init__(self, context: np.ndarray, symbol: np.ndarray, v: np.ndarray):
+        self.bits = max(4, math.ceil(math.log2(2 * len(context) + 1)))
+        size = 1 << self.bits
+        self.context, self.symbol, self.v = np.zeros(size, dtype=np.int64), np.full(size, -2, dtype=np.int32), np.zeros(size)
+        at, left = self._place(context, symbol), np.arange(len(context))
+        while len(left):
+            free = np.nonzero(self.symbol[at] == -2)[0]
+            slots, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.context[slots], self.symbol[slots], self.v[slots] = context[left[put]], symbol[left[put]], v[left[put]]
+            wait = np.ones(len(left), dtype=bool)
+            wait[put] = False
+            left, at = left[wait], (at[wait] + 1) & (size - 1)
+
+    def _place(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        h = context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ symbol.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(29)
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The v of each, NaN where there is none."""
+        at = self._place(context, symbol)
+        there = self.symbol[at]
+        hit = (there == symbol) & (self.context[at] == context)
+        out = np.where(hit, self.v[at], np.nan)
+        left = np.nonzero(~hit & (there != -2))[0]
+        at = at[left]
+        while len(left):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            there = self.symbol[at]
+            hit = (there == symbol[left]) & (self.context[at] == context[left])
+            out[left[hit]] = self.v[at[hit]]
+            more = ~hit & (there != -2)
+            left, at = left[more], at[more]
+        return out
+
+
 class Lookup:
-    """The model's rows in sorted arrays, 16 bytes each."""
+    """The model's rows in hashed arrays, of 20 bytes for each of two to four slots a row."""
 
     def __init__(self, order: np.ndarray, context: np.ndarray, symbol: np.ndarray, v: np.ndarray):
-        self.levels = []
-        for k in range(1, ORDER + 1):
-            at = (order == k) & (symbol < 0)
-            by = np.argsort(context[at])
-            contexts, weights = context[at][by], v[at][by]
-            at = (order == k) & (symbol >= 0)
-            keys = np.searchsorted(contexts, context[at]) << WIDTH | symbol[at]
-            by = np.argsort(keys)
-            self.levels.append((contexts, weights, keys[by], v[at][by]))
+        self.levels = [_Hashed(context[at], symbol[at], v[at]) for at in (order == k for k in range(1, ORDER + 1))]
+
+    def probability(self, context: np.ndarray, symbol: np.ndarray, k: int = ORDER) -> np.ndarray:
+        """Of each symbol after the last k - 1 characters of its context, seen or backed off."""
+        if not k:
+            return np.full(len(context), 1.0 / CHARACTERS)
+        own = context & (1 << WIDTH * (k - 1)) - 1
+        p = self.levels[k - 1].find(own, symbol)
+        rest = np.nonzero(np.isnan(p))[0]
+        if len(rest):
+            weight = self.levels[k - 1].find(own[rest], np.full(len(rest), -1))
+            p[rest] = np.where(np.isnan(weight), 1.0, weight) * self.probability(own[rest], symbol[rest], k - 1)
+        return p
 
     def logp(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each symbol after its context, seen or backed off."""
-        p = np.full(len(context), 1.0 / CHARACTERS)
-        for k, (contexts, weights, keys, v) in enumerate(self.levels, 1):
-            own = context & (1 << WIDTH * (k - 1)) - 1
-            if not len(contexts):
-                continue
-            at = np.minimum(np.searchsorted(contexts, own), len(contexts) - 1)
-            known = contexts[at] == own
-            p = np.where(known, weights[at], 1.0) * p
-            key = at << WIDTH | symbol
-            to = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            p = np.where(known & (keys[to] == key), v[to], p)
-        return np.log(p)
-
-
-_cached: tuple[int, Lookup | None] = (-1, None)
+        """Natural log-probability of each symbol after its context."""
+        return np.log(self.probability(context, symbol))
 
 
 def _scores_in_tasks(docs: DataFrame, model: DataFrame) -> DataFrame:
     rows = model.select("order", "context", "symbol", "v").toArrow()
     shared = docs.sparkSession.sparkContext.broadcast([rows.column(i).to_numpy() for i in range(4)])
-    ident = id(shared)
 
     @F.pandas_udf("n long, logp double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        global _cached
-        if _cached[0] != ident:
-            _cached = (ident, Lookup(*shared.value))
+        lookup = Lookup(*shared.value)
         for texts in batches:
-            context, symbol, text = _characters([t or "" for t in texts])
-            contexts, symbols_, which = _distinct(context, symbol)
-            lp = _cached[1].logp(contexts, symbols_)[which]
-            yield pd.DataFrame({"n": np.bincount(text, minlength=len(texts)), "logp": np.bincount(text, lp, minlength=len(texts))})
+            n, total = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
+            for context, symbol, text in _characters([t or "" for t in texts]):
+                n += np.bincount(text, minlength=len(texts))
+                total += np.bincount(text, lookup.logp(context, symbol), minlength=len(texts))
+            yield pd.DataFrame({"n": n, "logp": total})
 
     return docs.withColumn("_s", of("text")).select("*", F.col("_s.n").alias("n"), F.col("_s.logp").alias("logp")).drop("_s")
 
@@ -246,9 +227,8 @@ def _scores_by_join(docs: DataFrame, model: DataFrame) -> DataFrame:
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row, text in zip(pdf["_row"], pdf["text"], strict=True):
-                if text:
-                    context, symbol, which = _distinct(*_characters([text])[:2])
-                    yield pd.DataFrame({"_row": row, "context": context, "symbol": symbol, "k": np.bincount(which)})
+                for context, symbol, _ in _characters([text] if text else []):
+                    yield pd.DataFrame({"_row": row} | dict(zip(("context", "symbol", "k"), _distinct(context, symbol), strict=True)))
 
     keyed = docs.withColumn("_row", F.sha2(F.concat_ws("\x01", F.col("doc_id").cast("string"), F.col("text")), 256))
     counts = keyed.select("_row", "text").distinct().mapInPandas(of, "_row string, context long, symbol long, k long")
