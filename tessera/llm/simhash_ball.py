@@ -9,8 +9,10 @@ Shuffling the variants themselves would move 2,081 rows per fingerprint. The
 shuffle here is on the leading bits of the variant: a fingerprint is sent once
 to every prefix that one of its variants can have (1 + b + b(b-1)/2 of 2^b), and
 the receiving task writes out just those variants that carry its prefix. All
-variants are compared, a few dozen rows per fingerprint travel, and b grows with
-the number of fingerprints, so that a task's share stays the same at any size.
+variants are compared and a few dozen rows per fingerprint travel. b grows with the
+number of fingerprints. Near copies share their leading bits, so the variants of
+each prefix are counted and a prefix with too many grows by itself; the receiver
+writes them out in blocks, so that its memory is bounded.
 
 Members of one variant's group are pairwise within the radius (each is within
 half of it from the variant), so a star over the group keeps every component
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,8 +36,13 @@ from tessera.llm.common import bounded_batches, checkpointed
 from tessera.llm.components import connected_components
 
 BITS = 64
-#: Variants that one receiving task compares at a time, about; 40 bytes each.
-VARIANTS_PER_TASK = 2_000_000
+#: Variants of a group of fingerprints with one prefix, on average, and the most that a group may have before it is split.
+VARIANTS_PER_GROUP, GROUP_VARIANTS = 2_000_000, 16_000_000
+#: Variants that a receiving task writes out at a time; 60 bytes each.
+BLOCK_VARIANTS = 1_000_000
+#: Bits by which the prefix of a group with too many variants grows; what a row of such a group counts beside its variants.
+STEP, ROW_COST = 6, 16
+BROADCAST_PREFIXES = 1_000_000
 #: Bands of MinHash values that near-duplicate candidates come from: a pair of similarity s shares none with (1 - s**5)**25.
 BANDS, BAND_ROWS = 25, 5
 
@@ -145,28 +153,29 @@ def _masks(width: int, flips: int) -> np.ndarray:
 def _forest(pairs: np.ndarray) -> np.ndarray:
     """At most one edge per node: (node, root) of the graph that ``pairs`` spans."""
     nodes, ends = np.unique(pairs, return_inverse=True)
-    ends = ends.reshape(pairs.shape)
-    parent = list(range(len(nodes)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in ends.tolist():
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    root = np.array([find(x) for x in range(len(nodes))], dtype=np.int64)
-    apart = root != np.arange(len(nodes))
-    return np.stack([nodes[apart], nodes[root[apart]]], axis=1) if apart.any() else np.empty((0, 2), dtype=np.uint64)
-
-
-def meet(fps: np.ndarray, prefix: int, bits: int, half: int, radius: int) -> np.ndarray:
-    """Spanning edges among distinct ``fps`` that share a variant whose leading ``bits`` are ``prefix``."""
+    a, b = ends.reshape(pairs.shape).T
+    parent = np.arange(len(nodes))
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))  # roots only: every other node is below its root
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+    apart = parent != np.arange(len(nodes))
+    return np.stack([nodes[apart], nodes[parent[apart]]], axis=1)
+
+
+def _variants(width: int, flips: int) -> int:
+    """How many numbers of ``width`` bits have at most ``flips`` bits set."""
+    return sum(math.comb(width, i) for i in range(flips + 1)) if flips >= 0 else 0
+
+
+def _meet(fps: np.ndarray, top: np.ndarray, bits: int, half: int, radius: int) -> np.ndarray:
+    """Edges among distinct ``fps``, which are ``top`` bits off the leading ``bits`` of the variants that are compared."""
     low = BITS - bits
-    top = np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(prefix)) if bits else np.zeros(len(fps), dtype=np.uint8)
     rest = fps & np.uint64((1 << low) - 1)
     variants, owners = [], []
     for flips in range(half + 1):
@@ -188,49 +197,106 @@ def meet(fps: np.ndarray, prefix: int, bits: int, half: int, radius: int) -> np.
     return _forest(np.stack([x[near], y[near]], axis=1))
 
 
-def prefix_bits(n: int, half: int) -> int:
-    """Leading bits that split the variants of ``n`` fingerprints into tasks of VARIANTS_PER_TASK."""
-    per = sum(math.comb(BITS, i) for i in range(half + 1))
-    return min(24, max(0, math.ceil(math.log2(max(1, n * per / VARIANTS_PER_TASK)))))
+def meet(fps: np.ndarray, prefix: int, bits: int, half: int, radius: int, block: int = BLOCK_VARIANTS) -> np.ndarray:
+    """Spanning edges among distinct ``fps`` that share a variant whose leading ``bits`` are ``prefix``.
 
-
-def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Distinct ``fps(view, fp)`` to spanning links ``(u, v)`` of fingerprints within ``radius``.
+    Where these are more than ``block`` variants, those of each longer prefix are
+    written out by themselves, so that memory stays bounded however alike ``fps`` are.
+    """
+    found, size, todo = [], 0, [(prefix, bits, fps)]
+    while todo:
+        prefix, bits, among = todo.pop()
+        low = BITS - bits
+        top = np.bitwise_count((among >> np.uint64(low)) ^ np.uint64(prefix)) if bits else np.zeros(len(among), dtype=np.uint8)
+        among, top = among[top <= half], top[top <= half]
+        if len(among) < 2:
+            continue
+        load = sum(int(n) * _variants(low, half - flips) for flips, n in enumerate(np.bincount(top)))
+        if load > block and low:
+            step = min(4, low)
+            todo += [(prefix << step | q, bits + step, among) for q in range(1 << step)]
+            continue
+        found.append(_meet(among, top, bits, half, radius))
+        size += len(found[-1])
+        if size > block:
+            found = [_forest(np.concatenate(found))]
+            size = len(found[0]) // 2
+    return _forest(np.concatenate(found)) if found else np.empty((0, 2), dtype=np.uint64)
+
+
+def prefix_bits(n: int, half: int, width: int = BITS) -> int:
+    """Leading bits that split the variants of ``n`` fingerprints into groups of VARIANTS_PER_GROUP, if they are spread evenly."""
+    return min(24, max(0, math.ceil(math.log2(max(1, n * _variants(width, half) / VARIANTS_PER_GROUP)))))
+
+
+def _routed(fps: DataFrame, bits: int, half: int, most: int) -> DataFrame:
+    """``fps(view, fp)`` to ``(view, bits, prefix, fp)``: once for each prefix that a variant can have, long enough for ``most``.
+
+    Fingerprints that are alike share their leading bits. So the variants of each
+    prefix are counted, and what has too many is sent on to prefixes of STEP more bits.
+    """
+    parts, step, at = [], bits, 0
+    work = fps.select("view", "fp", F.lit(0).cast("long").alias("prefix"))
+    while True:
+        at += step
+        masks = F.array(*[F.lit(int(m)).cast("long") for m in _masks(step, min(half, step))] if step else [F.lit(0).cast("long")])
+        flipped = F.bit_count(F.shiftrightunsigned("fp", BITS - at + step).bitwiseXOR(F.col("prefix"))) if at > step else F.lit(0)
+        work = work.withColumn("_m", F.explode(masks)).filter(flipped + F.bit_count("_m") <= half)
+        if step:
+            tail = F.shiftrightunsigned("fp", BITS - at).bitwiseAND(F.lit((1 << step) - 1).cast("long")).bitwiseXOR(F.col("_m"))
+            work = work.withColumn("prefix", F.shiftleft("prefix", step).bitwiseOR(tail))
+        work = work.select("view", "fp", "prefix")
+        off = F.bit_count(F.shiftrightunsigned("fp", BITS - at).bitwiseXOR(F.col("prefix"))) if at else F.lit(0)
+        each = F.element_at(F.array(*[F.lit(_variants(BITS - at, half - f) + ROW_COST) for f in range(half + 1)]), off.cast("int") + 1)
+        heavy = work.groupBy("view", "prefix").agg(F.sum(each).alias("load")).filter(F.col("load") > most).select("view", "prefix")
+        heavy = checkpointed(heavy)  # no more rows than all variants by `most`
+        n = heavy.count()
+        if not n or at + STEP > BITS:
+            break
+        heavy = F.broadcast(heavy) if n <= BROADCAST_PREFIXES else heavy.hint("shuffle_merge")
+        parts.append(work.join(heavy, ["view", "prefix"], "left_anti").select("view", F.lit(at).alias("bits"), "prefix", "fp"))
+        work, step = work.join(heavy, ["view", "prefix"], "left_semi"), STEP
+    return reduce(DataFrame.union, parts, work.select("view", F.lit(at).alias("bits"), "prefix", "fp"))
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 4, group: int = GROUP_VARIANTS, block: int = BLOCK_VARIANTS) -> DataFrame:
+    """Distinct ``fps(view, fp)`` to spanning links ``(view, u, v)`` of fingerprints within ``radius``.
 
     Only fingerprints of one view are compared. The links join exactly the
-    fingerprints that the full set of pairs within the radius would join.
+    fingerprints that the full set of pairs within the radius would join. A task
+    gets no more than ``group`` variants at once and writes out ``block`` of them.
     """
     half = radius // 2
     if radius % 2 or half > 2:
         raise ValueError("the radius must be 0, 2 or 4")
     n = fps.groupBy("view").count().agg(F.max("count")).first()[0] or 0
-    bits = prefix_bits(n, half)
-    flips = [int(m) for m in _masks(bits, min(half, bits))] if bits else [0]
-    top = F.shiftrightunsigned("fp", BITS - bits) if bits else F.lit(0).cast("long")
-    sent = fps.select("view", "fp", F.explode(F.array(*[F.lit(m).cast("long") for m in flips])).alias("m"))
-    sent = sent.select("view", top.bitwiseXOR(F.col("m")).alias("prefix"), "fp")
 
     def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = meet(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), int(key[1]), bits, half, radius).view(np.int64)
+        edges = meet(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), int(key[2]), int(key[1]), half, radius, block).view(np.int64)
         return pd.DataFrame({"view": int(key[0]), "u": edges[:, 0], "v": edges[:, 1]})
 
-    return sent.groupBy("view", "prefix").applyInPandas(of, "view int, u long, v long")
+    sent = _routed(fps, prefix_bits(n, half), half, group)
+    return sent.groupBy("view", "bits", "prefix").applyInPandas(of, "view int, u long, v long")
 
 
 def with_components(docs: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", radius: int = 4) -> DataFrame:
     """Add component_id: the smallest id reachable over fingerprints within ``radius`` bits.
 
     Equal fingerprints are one node, whatever the number of rows. Null ids never
-    become a component_id unless all of a component's ids are null. An empty
-    input gives an empty result; other columns pass through.
+    become a component_id unless all of a component's ids are null; a row with a
+    null fingerprint is linked to none. An empty input gives an empty result; other
+    columns pass through, but one that is already called component_id is replaced.
     """
-    nodes = checkpointed(docs.groupBy(F.col(fp_col).alias("_fp")).agg(F.min(id_col).alias("_least")))
+    docs = docs.drop("component_id")
+    nodes = checkpointed(docs.filter(F.col(fp_col).isNotNull()).groupBy(F.col(fp_col).alias("_fp")).agg(F.min(id_col).alias("_least")))
     links = fingerprint_links(nodes.select(F.lit(0).alias("view"), F.col("_fp").alias("fp")), radius)
     roots = connected_components(links)
     named = nodes.join(roots, nodes["_fp"] == roots["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
-    least = named.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = named.join(least, "_root").select("_fp", "component_id")
-    return docs.join(named, docs[fp_col] == named["_fp"]).drop("_fp")
+    least = named.groupBy("_root").agg(F.min("_least").alias("_component"))
+    named = named.join(least, "_root").select("_fp", "_component")
+    out = docs.join(named, docs[fp_col] == named["_fp"], "left")
+    own = F.when(F.col(fp_col).isNull(), F.col(id_col)).otherwise(F.col("_component"))
+    return out.withColumn("component_id", own).drop("_fp", "_component")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
