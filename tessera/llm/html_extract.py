@@ -3,8 +3,12 @@
 Every page is parsed into a tree. A subtree's hash covers its tag, class, text
 and children. Spark counts, per host, in how many different pages each hash
 occurs; subtrees that recur across many pages of their host are the site's
-template and are cut out of its pages, together with what HTML itself names as
-no content (navigation, scripts, forms, adverts, comments and so on).
+template and are cut out of its pages. A place (the tags and classes from the root
+down) whose subtrees mostly are ones that the host repeats is a template place, as
+of a rotating advert: what stands there is cut, however seldom it occurs itself.
+
+What counting cannot tell, as on a host of few pages, HTML names: navigation,
+scripts, forms, usual class words of adverts and comments, and the article.
 
 Prose elements inside an ``article`` are never cut for recurring: a passage or a
 whole article that many pages share is text. Copies of a page count once.
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches
+from tessera.llm.common import bounded_batches, checkpointed
 
 # Names of the HTML standard and usual class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -102,10 +106,15 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i, report)  # what HTML makes of <![...; the inherited one refuses unknown names
+
 
 def parse(html: str | None) -> Node:
     tree = _Tree()
     tree.feed(html or "")
+    if re.match(r"<[a-zA-Z/!?]", tree.rawdata):
+        tree.rawdata = ""  # a tag or comment that the page's end cuts off
     tree.close()
     return tree.root
 
@@ -173,18 +182,32 @@ def _host_key(host: str, key: int) -> int:
     return xxhash.xxh64_intdigest(f"{key:x}\x00{host}".encode("utf-8", "surrogatepass"))
 
 
+def _places(root: Node) -> dict[int, int]:
+    """The hash of the tags and classes from the root down, of each element (by its id()) that is outside of articles and no prose."""
+    out, todo = {}, [(root, 0)]
+    while todo:
+        node, above = todo.pop()
+        for c in node.children:
+            if isinstance(c, Node) and c.tag not in ("article", "main") and c.tag not in PROSE:
+                out[id(c)] = xxhash.xxh64_intdigest(f"{above:x} {c.tag} {c.attrs.get('class', '')}".encode("utf-8", "surrogatepass"))
+                todo.append((c, out[id(c)]))
+    return out
+
+
 def subtree_keys(html: str | None, host: str) -> list[int]:
     """Keys, each once, of the page's subtrees that may be template."""
-    return _page_keys(html, host)[1]
+    return sorted({key for key, _ in _page_keys(html, host)[1]})
 
 
-def _page_keys(html: str | None, host: str) -> tuple[int, list[int]]:
-    """(hash of the page's content, subtree keys). The content is the text of its articles, else the whole page."""
+def _page_keys(html: str | None, host: str) -> tuple[int, list[tuple[int, int]]]:
+    """(hash of the page's content, (subtree key, place key or 0)). The content is the text of its articles, else the whole page."""
     root = parse(html)
     found = [n for n, inside in _walk(root) if n.tag == "article" and not inside]
     texts = [" ".join(" ".join(c for n, _ in _walk(a) for c in n.children if isinstance(c, str)).split()) for a in found]
     content = "\x00".join(texts) if texts else html or ""
-    return xxhash.xxh64_intdigest(content.encode("utf-8", "surrogatepass")), sorted({_host_key(host, n.key) for n in _candidates(root)})
+    places = _places(root)
+    keys = {(_host_key(host, n.key), _host_key(host, places[id(n)]) if id(n) in places else 0) for n in _candidates(root)}
+    return xxhash.xxh64_intdigest(content.encode("utf-8", "surrogatepass")), sorted(keys)
 
 
 class _Text:
@@ -225,22 +248,30 @@ def _render(root: Node, cut: set[int], inside: bool) -> list[str]:
     return text.blocks
 
 
+def template_elements(root: Node, host: str, template: frozenset[int] | set[int]) -> set[int]:
+    """The id() of each element of the page that counting found to be template."""
+    if not template:
+        return set()
+    places = _places(root)
+    return {id(n) for n in _candidates(root) if _host_key(host, n.key) in template or id(n) in places and _host_key(host, places[id(n)]) in template}
+
+
 def extract(html: str | None, host: str = "", template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's main text, without the subtrees whose keys are in ``template``."""
+    """The page's main text, without the subtrees whose own or whose place's keys are in ``template``."""
     if not html:
         return ""
     root = parse(html)
-    cut = {id(n) for n in _candidates(root) if _host_key(host, n.key) in template} if template else set()
-    roots, todo = {"article": [], "main": []}, [(root, False)]
+    cut = template_elements(root, host, template)
+    roots, todo = {"article": [], "main": []}, [(root, False, False)]
     while todo:
-        node, inside = todo.pop()
+        node, inside, within = todo.pop()
         if id(node) in cut or node is not root and is_no_content(node, inside):
             continue
         kind = "article" if node.tag == "article" else "main" if node.tag == "main" or node.attrs.get("role") == "main" else ""
-        if kind and not (kind == "article" and inside):
+        if kind == "article" and not inside or kind == "main" and not within:
             roots[kind].append(node)
-        todo.extend((c, inside or node.tag == "article") for c in reversed(node.children) if isinstance(c, Node))
-    chosen = roots["article"] or roots["main"][:1] or [root]
+        todo.extend((c, inside or kind == "article", within or kind == "main") for c in reversed(node.children) if isinstance(c, Node))
+    chosen = roots["article"] or roots["main"] or [root]
     return "\n\n".join(b for r in chosen for b in _render(r, cut, r.tag == "article"))
 
 
@@ -252,7 +283,7 @@ def host_of(url: Column) -> Column:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """``pages(host, html)`` to one row per page and candidate subtree: host, sig (of the whole page), content (of its text), key; and one per page with the key null."""
+    """``pages(host, html)`` to one row per page and candidate subtree: host, sig (of the whole page), content (of its text), key, place; and one per page with the key null."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -261,34 +292,42 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
                 told = [_page_keys(h, host) for h, host in zip(part["html"], part["host"], strict=True)]
                 sigs = [xxhash.xxh64_intdigest((h or "").encode("utf-8", "surrogatepass")) for h in part["html"]]
                 n = [len(keys) + 1 for _, keys in told]
-                found = [k for _, keys in told for k in (None, *keys)]
-                key = np.array([k or 0 for k in found], dtype=np.uint64).view(np.int64)
+                found = [k for _, keys in told for k in ((0, 0), *keys)]
+                key, place = (np.array([k[i] for k in found], dtype=np.uint64).view(np.int64) for i in (0, 1))
                 yield pd.DataFrame({
                     "host": np.repeat(part["host"].to_numpy(dtype=object), n),
                     "sig": np.repeat(np.array(sigs, dtype=np.uint64).view(np.int64), n),
                     "content": np.repeat(np.array([c for c, _ in told], dtype=np.uint64).view(np.int64), n),
-                    "key": pd.arrays.IntegerArray(key, np.array([k is None for k in found], dtype=bool)),
+                    "key": pd.arrays.IntegerArray(key, key == 0),
+                    "place": pd.arrays.IntegerArray(place, place == 0),
                 })
 
-    return pages.select("host", "html").mapInPandas(of, "host string, sig long, content long, key long")
+    return pages.select("host", "html").mapInPandas(of, "host string, sig long, content long, key long, place long")
 
 
-def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1) -> DataFrame:
-    """Keys of subtrees in at least ``min_pages`` pages of different content and ``min_share`` of all such of their host.
+def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, place_pages: int = 20, place_share: float = 0.5) -> DataFrame:
+    """Keys of a site's template: of recurring subtrees, and of the places of such.
 
-    Pages with the same article count once, however their surroundings differ.
+    A subtree is template if it is in at least ``min_pages`` pages of different
+    content and ``min_share`` of all such of its host. A place is if it is in at
+    least ``place_pages`` of them and its subtrees are ones that another page has
+    too in at least ``place_share``. Pages with the same article count once, however
+    their surroundings differ.
     """
-    seen = page_subtrees(pages).select("host", "content", "key").distinct()
-    often = seen.filter("key is not null").groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    hosts = seen.filter("key is null").groupBy("host").agg(F.count("*").alias("pages"))
-    return often.join(hosts, "host").filter(F.col("n") >= F.col("pages") * min_share).select("key")
+    seen = page_subtrees(pages).select("host", "content", "key", "place").distinct()
+    counts = checkpointed(seen.groupBy("host", "key", "place").agg(F.count("*").alias("n")))
+    subtrees = counts.filter("key is not null").groupBy("host", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages)
+    hosts = counts.filter("key is null").select("host", F.col("n").alias("pages"))
+    often = subtrees.join(hosts, "host").filter(F.col("n") >= F.col("pages") * min_share).select("key")
+    places = counts.filter("place is not null").groupBy("host", "place").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("shared"))
+    return often.union(places.filter((F.col("n") >= place_pages) & (F.col("shared") >= F.col("n") * place_share)).select("place"))
 
 
 def extract_main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, broadcast_keys: int = 1_000_000) -> DataFrame:
     """Add ``text`` to ``pages(page_id, url, html, ...)``.
 
-    Null, empty or unparsable html gives an empty text; pages without a host share
-    the empty host; repeated rows stay. The template keys go to the tasks as one
+    Null or empty html gives an empty text, and any other html a tree; pages without
+    a host share the empty host; repeated rows stay. The template keys go to the tasks as one
     sorted array of 8 bytes each while there are at most ``broadcast_keys``; beyond
     that each page gets its own keys by a join.
     """
@@ -313,7 +352,8 @@ def extract_main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0
         own = [frozenset(np.asarray(k, dtype=np.int64).view(np.uint64).tolist()) if k is not None else frozenset() for k in keys]
         return pd.Series([extract(h, host, k) for h, host, k in zip(htmls, hosts, own, strict=True)], dtype=object)
 
-    pairs = page_subtrees(work.select(F.col("_host").alias("host"), "html")).select("host", "sig", "key").distinct().join(found, "key")
+    of_page = page_subtrees(work.select(F.col("_host").alias("host"), "html")).select("host", "sig", F.explode(F.array("key", "place")).alias("key"))
+    pairs = of_page.distinct().join(found, "key")
     keys = pairs.groupBy(F.col("host").alias("_h"), F.col("sig").alias("_s")).agg(F.collect_set("key").alias("_keys"))
 
     @F.pandas_udf("long")
