@@ -13,38 +13,48 @@ U64 = 2**64
 _UNIT = "|".join(map(re.escape, UNITS))
 _NUMBER = "[零一二三四五六七八九十百千万亿两]+"
 _SPELLED = "[零〇一二三四五六七八九]{2,}"
+_RUN = re.compile("([零一二三四五六七八九两]+)([十百千]?)|()([十百千])")
+_NUMERAL = re.compile("(?=.*[零一二三四五六七八九两十])[零一二三四五六七八九两十百千万亿]+")
 # the alternatives in order of precedence at one place; a run of digits is always taken whole
 _ANY = re.compile(
     rf"百分之(?P<percent>{_NUMBER})|(?P<year>{_SPELLED})年|(?P<count>{_NUMBER})(?P<unit>{_UNIT})|(?P<arabic>[0-9][0-9.]*)(?:(?P<scale>[万亿])(?={_UNIT}))?"
 )
 
 
+def _section(text: str, bare: int | None) -> int:
+    """A numeral without 万 and 亿: runs of digits, of which the last counts, each with its multiplier.
+
+    ``bare``: what a last digit counts that follows no multiplier, or None if it is one
+    of units whatever it follows.
+    """
+    value, tenth = 0, bare
+    for m in _RUN.finditer(text):
+        run, times = m[1] or "", m[2] or m[4]
+        last = DIGITS[run[-1]] if run else 0
+        if times:
+            value += (last or times == "十") * SMALL[times]
+            tenth = bare and SMALL[times] // 10
+        else:
+            value += last * (1 if tenth is None or "零" in run else tenth)
+    return value
+
+
 def to_number(text: str) -> int | None:
     """The value of a positional numeral; a bare last digit counts in the unit below (一万二 is 12000).
 
-    None for no numeral and for more than 64 bits can hold.
+    What stands before 亿 is a numeral of its own, and so is what stands before 万
+    within it. None for no numeral and for more than 64 bits can hold.
     """
-    whole, part, digit, below, seen = 0, 0, 0, 0, False
-    for ch in text:
-        if ch in DIGITS and ch != "〇":
-            digit, seen = DIGITS[ch], True
-            below = below if digit else 0
-        elif ch == "十":
-            part, digit, below, seen = part + (digit or 1) * 10, 0, 0, True
-        elif ch in SMALL:
-            part, digit, below = part + digit * SMALL[ch], 0, SMALL[ch] // 10
-        elif ch == "万":
-            whole, part, digit, below = whole + (part + digit) * 10_000, 0, 0, 1000
-        elif ch == "亿":
-            whole, part, digit, below = (whole + part + digit) * 100_000_000, 0, 0, 10_000_000
-        else:
-            return None
-        if max(whole, part) >= U64:
-            return None
-    if not (seen or whole or part or digit):
+    if not _NUMERAL.fullmatch(text):
         return None
-    out = whole + part + digit * (below or 1)
-    return out if out < U64 else None
+    *before, rest = text.split("亿")
+    value, bare = 0, 10_000_000 if before else 1
+    for part in before:
+        *myriads, units = part.split("万")
+        value = (value + sum(_section(m, None) for m in myriads) * 10_000 + _section(units, None)) * 100_000_000
+    *myriads, units = rest.split("万")
+    value += sum(_section(m, None) for m in myriads) * 10_000 + _section(units, 1000 if myriads else bare)
+    return value if value < U64 else None
 
 
 def rewrite_numbers(text: str) -> str:

@@ -28,19 +28,18 @@ SEED_TEMPLATES = {
 }
 
 _LIST = re.compile(r"[-*•·]\s|[（(][0-9]{1,3}[)）]|[0-9]{1,3}[.、)）](?![0-9])")
+_BAR = re.compile(r"\s*\|\s*")
 _HEADING = re.compile(r"(#{1,6}) (.*)", re.S)
 _SENTENCE_END = re.compile("[。！？；;]")
 
 
 def plain_row(line: str) -> str | None:
     """The row that a line of text stands for: joined cells, '' for a separator, None for no row."""
-    if "|" not in line:
+    cells = _BAR.split(line.strip().strip("|").strip())
+    if sum(map(bool, cells)) < 2:
         return None
-    cells = [c.strip() for c in line.strip().strip("|").split("|")]
-    filled = [c for c in cells if c]
-    if len(filled) < 2:
-        return None
-    return "" if all(set(c) <= set("-:") for c in filled) else " | ".join(cells)
+    rule = not "".join(cells).strip("-:")  # dashes and colons alone
+    return "" if rule else " | ".join(cells)
 
 
 class _Chunker:
@@ -191,26 +190,43 @@ def with_rel_pos(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.withColumn("rel_pos", F.when(n > 1, F.col("order_index") / (n - 1)).otherwise(F.lit(0.0)))
 
 
-def template_scores(chunks: DataFrame, templates: DataFrame) -> DataFrame:
-    """``chunks(key, tokens)`` that share a token with one of ``templates(template_id, tokens)``: key, template_id, cosine.
+def template_scores(chunks: DataFrame, templates: DataFrame, least: float = TEMPLATE_COSINE) -> DataFrame:
+    """Pairs of ``chunks(key, tokens)`` and ``templates(template_id, tokens)`` with a cosine of ``least`` (above 0): key, template_id, cosine.
 
-    A join on the tokens, not a cross join; counts are summed per pair.
+    Tokens are in one order, those of few templates first. Two vectors with that
+    cosine have in common a token from which on to the end both have at least
+    ``least`` of their length; only such tokens are joined, so common words make no
+    pairs. The cosine is then taken of the pairs found.
     """
 
     def counted(df: DataFrame, key: str) -> DataFrame:
-        long = df.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-        norms = long.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-        return long.join(norms, key)
-
-    a = counted(chunks, "key").withColumnsRenamed({"n": "n_a", "norm": "norm_a"})
-    b = counted(templates, "template_id").withColumnsRenamed({"n": "n_b", "norm": "norm_b"})
-    dots = a.join(b, "token").groupBy("key", "template_id", "norm_a", "norm_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("dot"))
-    return dots.select("key", "template_id", (F.col("dot") / (F.col("norm_a") * F.col("norm_b"))).alias("cosine"))
+        return df.select(key, F.explode("tokens").alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+
+    a, b = counted(chunks, "key"), counted(templates, "template_id")
+    order = b.groupBy("token").agg(F.count("*").alias("df"))
+
+    def profile(long: DataFrame, key: str) -> DataFrame:
+        """One row per vector: its norm, its known tokens with counts, and those that may be the first in common."""
+        known = F.filter(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "n"))), lambda x: x["df"] > 0)
+        rows = long.join(order, "token", "left").groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), known.alias("known"))
+        squares = F.transform("known", lambda x: x["n"] * x["n"])
+        at = F.sequence(F.lit(1), F.size("known"))
+        tails = F.transform(at, lambda i: F.aggregate(F.slice(squares, i, F.size("known")), F.lit(0).cast("long"), lambda z, x: z + x))
+        enough = F.lit(least * least * (1 - 1e-9)) * F.col("norm") * F.col("norm")
+        first = F.slice("known", F.lit(1), F.size(F.filter(tails, lambda t: t >= enough)))
+        return rows.filter(F.size("known") > 0).select(key, "norm", "known", F.transform(first, lambda x: x["token"]).alias("first"))
+
+    x, y = profile(a, "key"), profile(b, "template_id")
+    found = x.select("key", F.explode("first").alias("token")).join(y.select("template_id", F.explode("first").alias("token")), "token").select("key", "template_id").distinct()
+    counts = F.map_from_entries(F.transform("known", lambda x: F.struct(x["token"], x["n"])))
+    pairs = found.join(x.select("key", F.col("norm").alias("norm_a"), counts.alias("counts")), "key").join(y.select("template_id", F.col("norm").alias("norm_b"), "known"), "template_id")
+    dot = F.aggregate("known", F.lit(0).cast("long"), lambda z, t: z + t["n"] * F.coalesce(F.element_at("counts", t["token"]), F.lit(0)))
+    return pairs.select("key", "template_id", (dot / (F.col("norm_a") * F.col("norm_b"))).alias("cosine")).filter(F.col("cosine") >= least)
 
 
 def with_template_flag(chunks: DataFrame, templates: DataFrame, key: str = "cid") -> DataFrame:
     """Add is_template: the cosine with any template is at least TEMPLATE_COSINE."""
-    flagged = template_scores(chunks.select(F.col(key).alias("key"), "tokens"), templates).filter(F.col("cosine") >= TEMPLATE_COSINE)
+    flagged = template_scores(chunks.select(F.col(key).alias("key"), "tokens"), templates)
     flagged = flagged.select(F.col("key").alias("_key"), F.lit(True).alias("_flag")).distinct()
     out = chunks.join(flagged, chunks[key] == flagged["_key"], "left")
     return out.withColumn("is_template", F.coalesce("_flag", F.lit(False))).drop("_key", "_flag")

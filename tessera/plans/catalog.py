@@ -196,7 +196,7 @@ def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that are the text of a benchmark item, taken as templates."""
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("template_id"), X.tokens_en(F.col("text")).alias("tokens"))
     chunks = _light(spark, sf_dir).select(F.col("cid").alias("key"), "tokens")
-    out = chunk.template_scores(chunks, items).filter(F.col("cosine") >= chunk.TEMPLATE_COSINE)
+    out = chunk.template_scores(chunks, items)
     return out.select(F.col("key").alias("cid"), "template_id", _r6("cosine").alias("cosine"))
 
 
