@@ -96,12 +96,12 @@ def count_ngrams(texts: DataFrame) -> DataFrame:
 
 
 def _discounts(counts: DataFrame) -> list[float]:
-    """D1, D2 and D3+ of one order; 1/2, 1 and 3/2 where its counts of counts have a zero."""
+    """D1, D2 and D3+ of one order, at least 1/20 so that nothing is impossible; 1/2, 1 and 3/2 where its counts of counts have a zero."""
     n = counts.agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).first()
     if not all(n):
         return [0.5, 1.0, 1.5]
     y = n[0] / (n[0] + 2 * n[1])
-    return [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.0), i + 1.0) for i in range(3)]
+    return [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.05), i + 1.0) for i in range(3)]
 
 
 def _lower(context: Column, k: int) -> Column:
@@ -287,10 +287,10 @@ def language_limits(trusted: DataFrame, low: float, high: float, prior: int = 10
     own = checkpointed(binned(named, means(named)))
     pooled = own.groupBy("z").agg(F.sum("k").alias("k")).withColumn("lang", F.lit("all")).withColumn("mean", F.lit(0.0))
     pooled = quantiles(pooled.withColumn("texts", F.lit(own.agg(F.sum("k")).first()[0]).cast("long")))
-    pooled = pooled.select(F.col("z_low").alias("_low"), F.col("z_high").alias("_high"))
+    every_low, every_high = pooled.select("z_low", "z_high").first() or (None, None)
     wider = F.sqrt(1 + 1 / F.col("texts"))
-    shrunk = [((F.col(z) * F.col("texts") + F.col(q) * prior) / (F.col("texts") + prior) * wider).alias(z) for z, q in (("z_low", "_low"), ("z_high", "_high"))]
-    limits = quantiles(own).crossJoin(F.broadcast(pooled)).select("lang", "mean", *shrunk)
+    shrunk = [((F.col(z) * F.col("texts") + F.lit(q) * prior) / (F.col("texts") + prior) * wider).alias(z) for z, q in (("z_low", every_low), ("z_high", every_high))]
+    limits = quantiles(own).select("lang", "mean", *shrunk)
     return limits.union(quantiles(binned(every, means(every))).select("lang", "mean", "z_low", "z_high"))
 
 
