@@ -102,7 +102,7 @@ def metadata_flags(docs: DataFrame, fields: dict[str, str] | None = None) -> Dat
 
 
 def collusion_score(peak: Column, multi: Column, clusters: Column, flagged: Column, terms: Column, prices: Column) -> tuple[Column, Column, Column]:
-    """Score, level and signals from a job's peak similarity and counts.
+    """Score, level and signals (kind, weight, detail) from a job's peak similarity and counts.
 
     multi: clusters of three or more documents; flagged: documents with shared
     metadata; prices: pairs with close prices.
@@ -119,7 +119,13 @@ def collusion_score(peak: Column, multi: Column, clusters: Column, flagged: Colu
         total = total + F.coalesce(weight, F.lit(0.0))
     score = F.round(clamped(total), 9)
     level = F.when(score >= 0.6, "high").when(score >= 0.35, "medium").when(score > 0.1, "low").otherwise("none")
-    signals = F.array_compact(F.array(*[F.when(w.isNotNull(), F.struct(F.lit(k).alias("kind"), w.alias("weight"))) for k, w in parts]))
+    told = {
+        "similarity": F.concat(F.lit("最高相似 "), F.round(peak * 100).cast("int").cast("string"), F.lit("%")),
+        "cluster": F.when(multi > 0, F.concat(F.lit("三份以上文档共有 "), multi.cast("string"), F.lit(" 组"))).otherwise(F.concat(F.lit("相似 "), clusters.cast("string"), F.lit(" 组"))),
+        "metadata": F.concat(F.lit("元数据相同 "), flagged.cast("string"), F.lit(" 份")),
+        "sharedTerms": F.concat(F.lit("共有术语 "), terms.cast("string"), F.lit(" 个")), "facts": F.concat(F.lit("报价接近 "), prices.cast("string"), F.lit(" 对")),
+    }
+    signals = F.array_compact(F.array(*[F.when(w.isNotNull(), F.struct(F.lit(k).alias("kind"), w.alias("weight"), told[k].alias("detail"))) for k, w in parts]))
     return score, level, signals
 
 

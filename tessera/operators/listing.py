@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a preview.
+PREVIEW_ROWS = 5000
 SEVERITY_RANK = {"high": 0, "medium": 1, "low": 2, "review": 3}
 
 
@@ -47,6 +49,35 @@ def cluster_detail(cluster: DataFrame, members: DataFrame, chunks: DataFrame) ->
     return rows.orderBy("job_id", "cluster_no", "doc_id", F.col("role") != "primary", "order_index")
 
 
+def member_facts(cluster: DataFrame, members: DataFrame, facts: DataFrame) -> DataFrame:
+    """The facts of clusters' members, by document."""
+    rows = cluster.select("job_id", "cluster_no").join(members, ["job_id", "cluster_no"]).join(facts, ["job_id", "cid"])
+    return rows.orderBy("job_id", "cluster_no", "doc_id", "cid")
+
+
+def preview(chunks: DataFrame, doc_id: object, limit: int = PREVIEW_ROWS) -> DataFrame:
+    """The paragraphs and headings of one document, in its order."""
+    rows = chunks.filter(F.col("doc_id") == doc_id)
+    if "chunk_level" in chunks.columns:
+        rows = rows.filter("chunk_level = 'paragraph'")
+    return rows.orderBy("order_index").limit(limit)
+
+
+#: L4: how each list is ordered; the newest first but where a list grows at its end.
+LIST_ORDERS = {"documents": "created_at", "templates": "created_at", "annotations": "created_at", "jobs": "-created_at", "workspaces": "-updated_at"}
+
+
+def listed(rows: DataFrame, kind: str, ident: str) -> DataFrame:
+    """L4: the rows of a list in its order; ``ident`` decides ties."""
+    column = LIST_ORDERS[kind]
+    return rows.orderBy(F.desc(column[1:]) if column.startswith("-") else F.asc(column), ident)
+
+
+def cluster_feed(clusters: DataFrame, limit: int = 40) -> DataFrame:
+    """The first page of clusters, and of these all but added and deleted ones."""
+    return cluster_page(clusters, limit)[0].filter(~F.col("cluster_type").isin("added", "deleted"))
+
+
 def latest_by(df: DataFrame, keys: list[str], value: str, when: str, tie: str) -> DataFrame:
     """The value of the latest row of each key."""
     return df.groupBy(*keys).agg(F.max_by(value, F.struct(when, tie)).alias(f"latest_{value}"), F.count("*").alias("n"))

@@ -6,20 +6,26 @@ characters or more. Scores are rounded to 6 digits at this edge.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import csv
+import io
+import json
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tessera.config import CompareConfig
+from tessera.config import CompareConfig, ParserConfig
 from tessera.functions import diff as D
 from tessera.functions import entities as E
 from tessera.functions import minhash as M
 from tessera.functions import text as X
-from tessera.operators import aggregate, chunk, facts, listing, recall, score
+from tessera.operators import aggregate, chunk, embed, facts, listing, recall, score
 from tessera.plans import oracle as O
 from tessera.plans.compare import CompareResult, compare, document_chunks, jobs_of_documents
+from tessera.sources import export, parse
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -304,6 +310,16 @@ def cluster_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(spark, sf_dir).clusters.select("job_id", F.array_min("members").alias("first_chunk"), "n_docs", "cluster_type", "severity")
 
 
+@query(f"""WITH {O.COMPONENTS}, base AS (SELECT doc_id // 10 AS job_id, min(doc_id) AS base_doc FROM documents GROUP BY ALL),
+spans AS (SELECT job_id, root, max(rel_pos) - min(rel_pos) AS span, arg_min(cid, (CASE WHEN doc_id = base_doc THEN 0 ELSE 1 END, doc_id)) AS base_chunk FROM primary_member JOIN base USING (job_id) GROUP BY ALL),
+topics AS (SELECT job_id, root, arg_min(CASE WHEN length(text) > 18 THEN substring(text, 1, 18) || '…' ELSE text END, cid) AS topic, bool_or(doc_id = base_doc) AS has_base FROM member JOIN base USING (job_id) GROUP BY ALL)
+SELECT job_id, root AS first_chunk, topic, 'other' AS section_kind, base_chunk, has_base AND cluster_type IN ('same', 'minor_change') AND span > 0.25 AS moved FROM described JOIN spans USING (job_id, root) JOIN topics USING (job_id, root)""")
+def cluster_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic, kind of section, base chunk and whether the passage moved, with the first document of each job as its base."""
+    result = _result(spark, sf_dir, base_docs=_base(spark, sf_dir))
+    return result.clusters.select("job_id", F.array_min("members").alias("first_chunk"), "topic", "section_kind", "base_chunk", "moved")
+
+
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select(F.expr("doc_id div 10").alias("job_id"), "doc_id")
     return docs.groupBy("job_id").agg(F.min("doc_id").alias("base_doc"))
@@ -406,59 +422,71 @@ def job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _result(spark, sf_dir).summary.select("job_id", "chunk_count", "cluster_count", "same_count", "minor_change_count", "changed_count", "uncertain_count")
 
 
-# ------------------------------------- entities, numerals, facts: inline texts
-_CLAUSES = [
-    (1, 0, "甲方应在二〇二六年九月三十日前支付预付款五万元，质保期三年。"),
-    (1, 1, "甲方应在2026年9月30日前支付预付款8万元，质保期3年。"),
-    (2, 0, "投标人须在一百八十个日历日内完成系统部署并提交验收报告。"),
-    (2, 1, "投标人须在180个日历日内完成系统部署并提交验收报告。"),
-    (3, 0, "如发生违约，乙方承担百分之三十的赔偿。"),
-    (3, 1, "如发生违约，甲方承担百分之三十的赔偿。"),
-    (4, 0, "服务费用12.5万元，分三期结算，每期四个月。"),
-    (4, 1, "服务费用125000元，分3期结算，每期4个月。"),
-]
+# ------------------------------- entities, numerals, facts: clauses made of the tables' columns
+_DIGITS = "零一二三四五六七八九"
 
 
-def _clauses(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(_CLAUSES, "clause long, doc long, text string")
-    rows = rows.withColumn("normalized", X.normalized(F.col("text")))
-    return rows.withColumn("entities", E.entities(F.col("normalized")))
+def _spelled(n: str) -> str:
+    """SQL for a number from 1 to 9999 in Chinese numerals."""
+    digit = lambda x: f"substring('{_DIGITS}', int({x}) + 1, 1)"
+    t, h, e, u = f"({n} div 1000)", f"({n} div 100 % 10)", f"({n} div 10 % 10)", f"({n} % 10)"
+    thousands = f"if({t} > 0, concat({digit(t)}, '千'), '')"
+    hundreds = f"if({h} > 0, concat({digit(h)}, '百'), if({t} > 0 and {n} % 100 > 0, '零', ''))"
+    tens = f"if({e} > 0, concat({digit(e)}, '十'), if({h} > 0 and {u} > 0, '零', ''))"
+    return f"concat({thousands}, {hundreds}, {tens}, if({u} > 0, {digit(u)}, ''))"
 
 
-def _values(rows: list[tuple]) -> str:
-    told = [", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'" for v in r) for r in rows]
-    return ", ".join(f"({t})" for t in told)
+@query("""SELECT p_partkey, concat('工期', p_partkey % 9999 + 1, '天，预付', (p_partkey % 97 + 1) * 10000, '元，让利', p_size, '%，', 1990 + p_size % 40, '年') AS rewritten FROM part""")
+def cn_number_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numerals spelled from the parts' numbers are rewritten to these numbers."""
+    year = "translate(cast(1990 + p_size % 40 as string), '0123456789', '〇一二三四五六七八九')"
+    text = f"concat('工期', {_spelled('(p_partkey % 9999 + 1)')}, '天，预付', {_spelled('(p_partkey % 97 + 1)')}, '万元，让利百分之', {_spelled('p_size')}, '，', {year}, '年')"
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.expr(text).alias("text"))
+    return rows.select("p_partkey", X.normalized(F.col("text"), case=False, punctuation=False, space=False).alias("rewritten")).withColumn("rewritten", F.replace("rewritten", F.lit(","), F.lit("，")))
 
 
-_NUMERALS = [("一万二", "一万二"), ("一百八十个日历日", "180个日历日"), ("十日", "10日"), ("5万元", "50000元"), ("五万元", "50000元"), ("二零二六年", "2026年"), ("百分之三十", "30%"), ("十个亿", "十个亿"), ("统一标准", "统一标准"), ("一百零八天", "108天"), ("12.5万元", "125000元")]
+@query("""
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderdate, floor(o_totalprice)::BIGINT AS price FROM orders)
+SELECT o_orderkey, 'date' AS kind, concat(year(o_orderdate), '年', month(o_orderdate), '月', day(o_orderdate), '日') AS value FROM o
+UNION ALL SELECT o_orderkey, 'amount', concat(price, '元') FROM o UNION ALL SELECT o_orderkey, 'percentage', concat(o_orderkey % 50, '%') FROM o
+UNION ALL SELECT o_orderkey, 'duration', concat(o_custkey % 36 + 1, '个月') FROM o""")
+def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what clauses made of the orders say."""
+    date = "concat(year(o_orderdate), '年', month(o_orderdate), '月', day(o_orderdate), '日')"
+    text = f"concat('合同金额', cast(floor(o_totalprice) as bigint), ' 元，', {date}, '前支付，质保', o_custkey % 36 + 1, ' 个月，折扣', o_orderkey % 50, '%')"
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", E.entities(F.expr(text)).alias("entities"))
+    return rows.select("o_orderkey", F.explode("entities").alias("e")).select("o_orderkey", "e.kind", "e.value")
 
 
-@query(f"SELECT * FROM (VALUES {_values(_NUMERALS)}) t(text, rewritten)")
-def cn_number_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """N2, N3; the SQL states the expected values."""
-    rows = spark.createDataFrame([(t,) for t, _ in _NUMERALS], "text string")
-    return rows.select("text", X.normalized(F.col("text"), case=False, punctuation=False, space=False).alias("rewritten"))
+def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clause per line item: orders as groups, lines as documents."""
+    party = "if(l_returnflag = 'R', '乙方', '甲方')"
+    text = f"concat({party}, '应支付货物款', cast(floor(l_extendedprice) as bigint), '元，质保期', cast(l_quantity as int), '个月，比例', cast(round(l_discount * 100) as int), '%')"
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_linenumber").cast("long").alias("doc"), F.expr(text).alias("text"))
 
 
-_ENTITIES = [
-    (1, 0, "date", "2026年9月30日"), (1, 0, "amount", "50000元"), (1, 0, "duration", "3年"), (1, 1, "date", "2026年9月30日"), (1, 1, "amount", "80000元"), (1, 1, "duration", "3年"),
-    (2, 0, "duration", "180个日历日"), (2, 1, "duration", "180个日历日"), (4, 0, "amount", "125000元"), (4, 0, "duration", "4个月"), (4, 1, "amount", "125000元"), (4, 1, "duration", "4个月"),
-]
+_CLAUSE_SQL = """t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN '乙方' ELSE '甲方' END AS party,
+  concat(floor(l_extendedprice)::BIGINT, '元') AS amount, concat(l_quantity::INT, '个月') AS duration, concat(round(l_discount * 100)::INT, '%') AS percentage FROM lineitem)"""
 
 
-@query(f"SELECT * FROM (VALUES {_values(_ENTITIES)}) t(clause, doc, kind, value)")
-def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F7 on clauses normalized by default, which drops percent signs first; the SQL states the expected entities."""
-    return _clauses(spark).select("clause", "doc", F.explode("entities").alias("e")).select("clause", "doc", "e.kind", "e.value")
+@query(f"WITH {_CLAUSE_SQL} SELECT l_orderkey AS clause, l_linenumber::BIGINT AS doc, party AS subject, '支付' AS action, '付款义务' AS obligation_type, '货物' AS object, amount, duration, percentage, 0.75 AS confidence FROM t")
+def fact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of clauses made of the line items."""
+    told = facts.with_facts(_clauses(spark, sf_dir).withColumn("entities", E.entities(F.col("text"))))
+    return told.select(F.col("group").alias("clause"), "doc", *[f"fact.{c}" for c in ("subject", "action", "obligation_type", "object", "amount", "duration", "percentage", "confidence")])
 
 
-@query("SELECT * FROM (VALUES (1, 'high', 'amount'), (3, 'high', 'subject')) t(clause, risk, fields)")
+@query(f"""WITH {_CLAUSE_SQL}, k AS (SELECT DISTINCT * FROM t),
+c AS (SELECT l_orderkey, count(DISTINCT amount) > 1 AS amount, count(DISTINCT duration) > 1 AS duration, count(DISTINCT percentage) > 1 AS percentage, count(DISTINCT party) > 1 AS party
+      FROM (SELECT l_orderkey, l_linenumber, any_value(amount) AS amount, any_value(duration) AS duration, any_value(percentage) AS percentage, any_value(party) AS party FROM k GROUP BY ALL HAVING count(*) = 1) GROUP BY ALL)
+SELECT l_orderkey AS clause, CASE WHEN amount OR duration OR party THEN 'high' ELSE 'medium' END AS risk,
+       concat_ws(',', CASE WHEN amount THEN 'amount' END, CASE WHEN duration THEN 'duration' END, CASE WHEN percentage THEN 'percentage' END, CASE WHEN party THEN 'subject' END) AS fields
+FROM c WHERE amount OR duration OR percentage OR party""")
 def fact_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1-X7; the SQL states the expected conflicts. Clauses 2 and 4 say the same in other numerals."""
-    told = facts.with_facts(_clauses(spark).withColumn("entities", E.entities(X.normalized(F.col("text"), punctuation=False))))
-    told = told.select(F.col("clause").alias("group"), "doc", "fact")
-    found = facts.fact_conflicts(told)
-    return found.select(F.col("group").alias("clause"), "risk", F.array_join(F.col("fields.field"), ",").alias("fields"))
+    """Where the lines of an order contradict one another; a line number that an order has twice is no document."""
+    rows = _clauses(spark, sf_dir).distinct().groupBy("group", "doc").agg(F.first("text").alias("text"), F.count("*").alias("n")).filter("n = 1")
+    told = facts.with_facts(rows.withColumn("entities", E.entities(F.col("text")))).select("group", "doc", "fact")
+    return facts.fact_conflicts(told).select(F.col("group").alias("clause"), "risk", F.array_join(F.col("fields.field"), ",").alias("fields"))
 
 
 @query(f"WITH {O.SCORED} SELECT a, b, x.text AS left_text, y.text AS right_text FROM edges JOIN comp x ON x.cid = a JOIN comp y ON y.cid = b")
@@ -476,6 +504,125 @@ def graded_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.select("a", "b", side("ins").alias("left_text"), side("del").alias("right_text"))
 
 
+# ------------------------------------------------------ files, previews, reports
+@query(f"WITH {O.CHUNKS}, one AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1) SELECT doc_id, order_index, chunk_type, text FROM chunks JOIN one USING (doc_id) ORDER BY order_index LIMIT 5000")
+def preview_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S14 for the longest document."""
+    one = _docs(spark, sf_dir).orderBy(F.desc("n_chars"), "doc_id").select("doc_id").first()
+    rows = listing.preview(_flat(spark, sf_dir), one[0] if one else None)
+    return rows.select("doc_id", F.col("order_index").cast("long").alias("order_index"), "chunk_type", "text")
+
+
+def _parsed(rows: DataFrame, extension: str, content: F.Column, key: str) -> DataFrame:
+    files = rows.select(F.col(key).cast("string").alias("path"), F.sha2(content, 256).alias("file_hash"), F.lit(extension).alias("extension"), content.alias("content"))
+    return parse.parse_files(files, ParserConfig(remove_header_footer=False))
+
+
+@query("""SELECT doc_id, greatest(1, length(text) // 1500)::INT AS pages, length(text) AS char_count, 'text' AS parse_method, text FROM documents WHERE text IS NOT NULL""")
+def parse_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a text file with a byte order mark."""
+    docs = _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.encode(F.concat(F.lit("\ufeff"), "text"), "UTF-8").alias("content"))
+    out = _parsed(docs, "txt", F.col("content"), "doc_id")
+    return out.select(F.col("path").cast("long").alias("doc_id"), "pages", "char_count", "parse_method", F.col("blocks")[0]["text"].alias("text"))
+
+
+def _files(rows: DataFrame, key: str, write: Callable[[list[tuple]], bytes]) -> DataFrame:
+    """``rows(key, cells)`` to one file per key with its rows in their order; keys are few rows each."""
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list("cells")).alias("all_cells"))
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "content": [write([tuple(r.values()) for r in cells]) for cells in pdf["all_cells"]]})
+
+    return grouped.mapInPandas(of, f"{key} long, content binary")
+
+
+@query("""SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line, 1 AS page, concat_ws(' | ', o_orderkey, o_orderstatus, CASE WHEN o_totalprice = floor(o_totalprice) THEN floor(o_totalprice)::BIGINT::VARCHAR ELSE o_totalprice::VARCHAR END) AS text FROM orders""")
+def parse_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of each customer are written to a workbook and read back."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long").alias("o_custkey"), F.struct("o_orderkey", "o_orderstatus", "o_totalprice").alias("cells"))
+    files = _files(orders, "o_custkey", lambda rows: export.workbook({"orders": [list(r) for r in rows]}))
+    blocks = _parsed(files, "xlsx", F.col("content"), "o_custkey").select("path", F.explode("blocks").alias("b")).filter("b.is_table_row")
+    return blocks.select(F.col("path").cast("long").alias("o_custkey"), F.col("b.block_idx").cast("long").alias("line"), "b.page", "b.text")
+
+
+@query("""
+WITH p AS (SELECT n_nationkey, n_name, c_custkey, c_name, c_mktsegment, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS rn FROM nation JOIN customer ON c_nationkey = n_nationkey)
+SELECT n_nationkey::BIGINT AS n_nationkey, 0::BIGINT AS line, 1 AS heading_level, n_name AS text FROM p WHERE rn = 1
+UNION ALL SELECT n_nationkey, rn * 2 - 1, 2, c_name FROM p UNION ALL SELECT n_nationkey, rn * 2, NULL, concat('segment ', c_mktsegment) FROM p""")
+def parse_word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's customers are written to a Word file, with headings, and read back."""
+    nations, customers = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "customer")
+    rows = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.struct("c_custkey", "c_name", "c_mktsegment", "n_name").alias("cells"))
+
+    def write(cells: list[tuple]) -> bytes:
+        return export.document([(1, cells[0][3])] + [x for _, name, segment, _ in cells for x in ((2, name), (0, f"segment {segment}"))])
+
+    blocks = _parsed(_files(rows, "n_nationkey", write), "docx", F.col("content"), "n_nationkey").select("path", F.explode("blocks").alias("b"))
+    return blocks.select(F.col("path").cast("long").alias("n_nationkey"), F.col("b.block_idx").cast("long").alias("line"), "b.heading_level", "b.text")
+
+
+_REPORT_JOB = "one AS (SELECT job_id FROM described GROUP BY job_id ORDER BY count(*) DESC, job_id LIMIT 1)"
+
+
+@query(f"""WITH {O.COMPONENTS}, {_REPORT_JOB}
+SELECT CASE d.cluster_type WHEN 'same' THEN '相同' WHEN 'minor_change' THEN '轻微修改' WHEN 'changed' THEN '修改' ELSE '待确认' END AS kind,
+       CASE d.severity WHEN 'low' THEN '低' WHEN 'medium' THEN '中' ELSE '复核' END AS severity,
+       substring('甲乙丙丁戊己庚辛壬癸', (dense_rank() OVER (ORDER BY m.doc_id))::INT, 1) AS doc_rank_tag, m.doc_id, CASE m.role WHEN 'primary' THEN '主' ELSE '重复' END AS role, m.text
+FROM member m JOIN one USING (job_id) JOIN described d ON d.job_id = m.job_id AND d.root = m.root""".replace("(dense_rank() OVER (ORDER BY m.doc_id))::INT", "(SELECT count(DISTINCT c.doc_id) FROM comp c WHERE c.job_id = m.job_id AND c.doc_id <= m.doc_id)::INT").replace("AS doc_rank_tag, m.doc_id,", "AS doc,"))
+def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the job with most clusters, written as CSV and read back."""
+    result = _result(spark, sf_dir)
+    top = result.clusters.groupBy("job_id").count().orderBy(F.desc("count"), "job_id").first()
+    schema = "kind string, severity string, doc string, role string, text string"
+    if top is None:
+        return spark.createDataFrame([], schema)
+    rows = list(csv.DictReader(io.StringIO(export.export(export.assemble(result, top[0]), "csv").decode("utf-8-sig"))))
+    return spark.createDataFrame([(r["类型"], r["风险"], r["文档"], r["角色"], r["文本"]) for r in rows], schema)
+
+
+@query(f"""WITH {O.COMPONENTS}, {_REPORT_JOB}
+SELECT p.doc_id AS doc_a, q.doc_id AS doc_b, p.text AS text_a, q.text AS text_b, d.cluster_type
+FROM primary_member p JOIN one USING (job_id) JOIN primary_member q ON q.job_id = p.job_id AND q.root = p.root AND p.doc_id < q.doc_id JOIN described d ON d.job_id = p.job_id AND d.root = p.root
+QUALIFY row_number() OVER (PARTITION BY p.doc_id, q.doc_id ORDER BY d.avg_score DESC, p.root) <= 40""")
+def report_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of the same report with their edits, as JSON; both texts are put together from the edits."""
+    result = _result(spark, sf_dir)
+    top = result.clusters.groupBy("job_id").count().orderBy(F.desc("count"), "job_id").first()
+    schema = "doc_a long, doc_b long, text_a string, text_b string, cluster_type string"
+    told = [] if top is None else json.loads(export.export(export.assemble(result, top[0]), "json"))["pairs"]
+    side = lambda ops, other: "".join(text for op, text in ops if op != other)
+    return spark.createDataFrame([(p["docA"], p["docB"], side(t["ops"], "ins"), side(t["ops"], "del"), t["type"]) for p in told for t in p["texts"]], schema)
+
+
+@query(f"WITH {O.COMPONENTS} SELECT job_id, root AS first_chunk, cid, doc_id, NULL::VARCHAR AS amount, 0.0 AS confidence FROM primary_member")
+def member_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the clusters' primaries; these texts state none, so every fact is empty."""
+    result = _result(spark, sf_dir)
+    first = result.clusters.select("job_id", "cluster_no", F.array_min("members").alias("first_chunk"))
+    rows = listing.member_facts(first, result.members, result.facts).join(first, ["job_id", "cluster_no"])
+    return rows.select("job_id", "first_chunk", "cid", "doc_id", "fact.amount", F.col("fact.confidence").alias("confidence"))
+
+
+@query("SELECT vec_id, octet_length(''::BLOB) + 4 * len(embedding) AS n_bytes, embedding[1]::DOUBLE AS first, embedding[-1]::DOUBLE AS last FROM embeddings")
+def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vectors packed to bytes and read back."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", embed.packed(F.col("embedding")).alias("blob"))
+    rows = rows.select("vec_id", F.octet_length("blob").cast("long").alias("n_bytes"), embed.unpacked(F.col("blob")).alias("v"))
+    return rows.select("vec_id", "n_bytes", F.col("v")[0].cast("double").alias("first"), F.element_at("v", -1).cast("double").alias("last"))
+
+
+@query(f"""WITH {O.FEATURES} SELECT cid, (length(f.first_text) + 9)::DOUBLE AS value FROM comp JOIN (SELECT normalized_hash, min(text) AS first_text FROM comp GROUP BY ALL) f USING (normalized_hash)""")
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12 with a model that says how long a text is: each normalized hash is computed once."""
+
+    def model() -> Callable:
+        return lambda texts: np.array([[len(t)] for t in texts], dtype=np.float32)
+
+    vectors, _ = embed.with_vectors(_light(spark, sf_dir), model, "length")
+    return vectors.select("cid", F.col("vector")[0].cast("double").alias("value"))
+
+
 # ----------------------------------------------------------- lists and control
 _SEVERITY = "CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'medium' WHEN '3-MEDIUM' THEN 'low' ELSE 'review' END"
 

@@ -148,6 +148,11 @@ class CompareResult:
     def summary(self) -> DataFrame:
         return aggregate.summary(self.clusters, self.chunks)
 
+    def of_job(self, job_id: int) -> CompareResult:
+        """The comparison of one job alone: its report then costs one job, however many there are."""
+        one = [None if t is None else t.filter(F.col("job_id") == job_id) for t in (self.chunks, self.base_docs, self.vectors, self.metadata)]
+        return CompareResult(one[0].persist(), self.config, *one[1:])
+
     def unpersist(self) -> None:
         for name in ("scored", "raw_clusters"):
             if name in self.__dict__:

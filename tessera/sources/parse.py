@@ -1,8 +1,8 @@
 """Files to blocks (S1-S9, N6): text, Word and Excel files with the standard library only.
 
-A parse failure is a row with an error, never a failed job. PDF has no reader in
-the standard library: ``EXTRACTORS`` is the place for one; without it such files
-are typed failures.
+A parse failure is a row with an error, never a failed job. ``EXTRACTORS`` takes
+readers of formats that need a library, and better ones of those read here: a PDF
+scan, which needs character recognition, is a typed failure without one.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import ParserConfig
 from tessera.schemas import BLOCKS, FINGERPRINT
+from tessera.sources import pdf
 
 ACCEPTED = ("docx", "txt", "md", "pdf", "xlsx", "xls")
 LEGACY = ("doc", "wps", "et", "rtf")
@@ -192,6 +193,12 @@ def parse_xlsx(data: bytes) -> tuple[list[dict], int, dict]:
     return blocks, max(1, len(sheets)), {}
 
 
+def parse_pdf(data: bytes) -> tuple[list[dict], int, dict]:
+    """A block per page with text."""
+    texts, fingerprint = pdf.page_texts(data)
+    return [block(t, page=i) for i, t in enumerate(texts, 1) if t], max(1, len(texts)), fingerprint
+
+
 def _is_page_number(line: str) -> bool:
     return len(line) <= 12 and re.fullmatch(r"[0-9\-–—/. \t第页共()]*[0-9][0-9\-–—/. \t第页共()]*", line) is not None
 
@@ -222,7 +229,7 @@ def strip_header_footer(blocks: list[dict]) -> list[dict]:
 def parse_file(extension: str, data: bytes, options: ParserConfig | None = None) -> dict:
     """Blocks, pages, char_count, method and fingerprint of one file, or its error."""
     options, ext = options or ParserConfig(), extension.lower().lstrip(".")
-    readers = {"txt": parse_text, "md": parse_text, "docx": parse_docx, "xlsx": parse_xlsx, **EXTRACTORS}
+    readers = {"txt": parse_text, "md": parse_text, "docx": parse_docx, "xlsx": parse_xlsx, "pdf": parse_pdf, **EXTRACTORS}
     out = {"status": "failed", "parse_error": None, "parse_method": None, "pages": None, "char_count": None, "blocks": [], "fingerprint": None}
     if ext not in readers:
         hint = "convert it to docx or xlsx first" if ext in LEGACY else "no reader for this format"

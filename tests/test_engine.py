@@ -2,14 +2,17 @@
 
 import io
 import zipfile
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import CompareConfig, InvalidRequest, UnsupportedFile, merged_config, validated_request
+from tessera.functions import diff
 from tessera.functions import entities as E
-from tessera.operators import aggregate, cluster, facts, listing, recall
+from tessera.operators import aggregate, cluster, embed, facts, listing, recall
 from tessera.plans import catalog
 from tessera.plans.compare import compare, document_chunks
 from tessera.sources import export, importing, parse
@@ -65,7 +68,11 @@ def test_exports(result):
     assert sum(b["heading_level"] == 1 for b in again) == 5
     blocks, _, _ = parse.parse_docx(export.to_docx(report))
     assert blocks[0]["heading_level"] == 1
+    pairs = {p["tags"]: p["texts"] for p in report["pairs"]}
+    assert len(pairs["甲乙"]) == 3 and all("".join(x for o, x in t["ops"] if o != "ins") == t["textA"] for t in pairs["甲乙"])
+    assert "逐对差异" in export.export(report, "md").decode()
     short = export.assemble(result, 0, include_text=False)
+    assert not any("ops" in t for p in short["pairs"] for t in p["texts"])
     assert all(len(m["text"]) <= export.SHORT + 1 for c in short["clusters"] for m in c["members"])
 
 
@@ -126,6 +133,35 @@ def test_header_footer_and_decoding():
     assert parse.parse_file("doc", b"")["status"] == parse.parse_file("docx", b"no")["status"] == "failed"
 
 
+def _pdf(objects: dict[int, bytes], trailer: bytes) -> bytes:
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, o) for n, o in objects.items()) + b"trailer\n" + trailer
+
+
+def _stream(data: bytes, more: bytes = b"") -> bytes:
+    packed = zlib.compress(data)
+    return b"<</Length %d/Filter/FlateDecode%s>>\nstream\n%s\nendstream" % (len(packed), more, packed)
+
+
+def test_pdf_pages_and_fingerprint():
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 2 beginbfchar <0001> <4e2d> <0002> <D83DDE00> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange"
+    inner = [b"<</Type/Page/Parent 2 0 R/Contents 5 0 R>>", b"<</Type/Page/Parent 2 0 R/Contents[6 0 R 7 0 R]>>"]
+    head = b"3 0 4 %d " % len(inner[0])
+    objects = {
+        1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Kids[3 0 R 4 0 R]/Count 2/Resources<</Font<</F1 8 0 R/F2 9 0 R>>>>>>",
+        5: _stream(b"BT /F1 12 Tf 1 0 0 1 72 700 Tm (Hello \\(w\\157rld\\)) Tj 0 -14 Td [(sec)-20(ond)-300(line)] TJ ET"),
+        6: _stream(b"BT /F2 9 Tf <00010002> Tj T* <001000110012> Tj"), 7: _stream(b" ET BI /W 1 ID \x00(\xff EI BT /F1 1 Tf (end) Tj ET"),
+        8: b"<</Type/Font/Subtype/Type1>>", 9: b"<</Type/Font/ToUnicode 10 0 R>>", 10: _stream(cmap), 11: _stream(head + b"".join(inner), b"/Type/ObjStm/N 2/First %d" % len(head)),
+        12: b"<</Author(\xfe\xff\x67\x4e)/Producer(P)/Creator(C)/CreationDate(D:20240305101112+08'00')>>",
+    }
+    data = _pdf(objects, b"<</Root 1 0 R/Info 12 0 R>>")
+    told = parse.parse_file("pdf", data)
+    assert told["parse_error"] is None and told["pages"] == 2
+    assert [(b["text"], b["page"]) for b in told["blocks"]] == [("Hello (world)\nsecond line", 1), ("中😀\nabc\nend", 2)]
+    assert told["fingerprint"]["author"] == "李" and told["fingerprint"]["app"] == "P" and told["fingerprint"]["created"] == "2024-03-05T10:11:12"
+    for bad in (b"", b"%PDF-1.4", data.replace(b"/Info", b"/Encrypt 1 0 R/Info"), data[:200], _pdf({1: b"<</Type/Page/Contents 2 0 R>>", 2: b"<</Filter/DCTDecode>>\nstream\nx\nendstream"}, b"<<>>")):
+        assert parse.parse_file("pdf", bad)["status"] == "failed"
+
+
 def test_import(spark, tmp_path):
     for name, data in {"a.txt": b"alpha text that is long enough", "b.txt": b"beta", "c.txt": b"alpha text that is long enough", "d.docx": b"broken"}.items():
         (tmp_path / name).write_bytes(data)
@@ -139,6 +175,56 @@ def test_import(spark, tmp_path):
         importing.checked_paths(spark, ["x.exe"])
 
 
+def test_vectors_are_computed_once_and_cached(spark):
+    rows = spark.createDataFrame([(0, 1, 10, "aa", "h1"), (0, 2, 11, "aa", "h1"), (1, 3, 12, "b", "h2")], "job_id long, cid long, doc_id long, text string, normalized_hash string")
+
+    def model():
+        return lambda texts: np.array([[len(t), t.startswith("passage: ")] for t in texts])
+
+    first, fresh = embed.with_vectors(rows, model, "m")
+    assert {r["cid"]: list(r["vector"]) for r in first.collect()} == {1: [11, 1], 2: [11, 1], 3: [10, 1]} and fresh.count() == 2
+    cache = spark.createDataFrame([("h1", "m", [5.0]), ("h2", "other", [6.0])], "normalized_hash string, model_id string, vector array<float>")
+    again, fresh = embed.with_vectors(rows, model, "m", cache)
+    assert {r["cid"]: list(r["vector"]) for r in again.collect()} == {1: [5], 2: [5], 3: [10, 1]} and [r["normalized_hash"] for r in fresh.collect()] == ["h2"]
+    blob = first.select(embed.packed(F.col("vector")).alias("b")).first()["b"]
+    assert len(blob) == 8
+
+
+def test_preview_lists_and_facts_of_members(spark):
+    chunks = spark.createDataFrame([(1, "heading", "paragraph", i) for i in range(9)] + [(1, "sentence", "sentence", 0), (2, "x", "paragraph", 0)], "doc_id long, chunk_type string, chunk_level string, order_index int")
+    assert [r["order_index"] for r in listing.preview(chunks, 1, 5).collect()] == [0, 1, 2, 3, 4]
+    rows = spark.createDataFrame([(1, 5), (2, 7), (3, 5)], "id long, created_at long")
+    assert [r["id"] for r in listing.listed(rows, "jobs", "id").collect()] == [2, 1, 3] and [r["id"] for r in listing.listed(rows, "documents", "id").collect()] == [1, 3, 2]
+    clusters = spark.createDataFrame([(0, 0, "same", "low", 0.9), (0, 1, "added", "low", 0.95)], "job_id long, cluster_no int, cluster_type string, severity string, score double")
+    assert [r["cluster_no"] for r in listing.cluster_feed(clusters).collect()] == [0]
+    members = spark.createDataFrame([(0, 0, 5), (0, 1, 6)], "job_id long, cluster_no int, cid long")
+    told = spark.createDataFrame([(0, 5, 9, "x"), (0, 7, 9, "y")], "job_id long, cid long, doc_id long, fact string")
+    assert [r["fact"] for r in listing.member_facts(clusters, members, told).collect()] == ["x"]
+
+
+def test_results_are_stored_by_job(spark, result, tmp_path):
+    export.write_results(result, str(tmp_path))
+    for name in ("edges", "clusters", "members", "facts", "deleted"):
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == getattr(result, name).count()
+    assert spark.read.json(f"{tmp_path}/_state").first()["state"] == "complete"
+
+
+@pytest.mark.parametrize(("a", "b", "ops"), [
+    ("付款5万元", "付款8万元", [("eq", "付款"), ("del", "5"), ("ins", "8"), ("eq", "万元")]),
+    ("", "x", [("ins", "x")]),
+    ("one two three " * 6, "one four three " * 6, [("eq", "one "), ("del", "two"), ("ins", "four")]),
+    ("甲" * 210 + "。" + "乙" * 200 + "。", "甲" * 210 + "。" + "丙" * 200 + "。", [("eq", "甲" * 210 + "。"), ("del", "乙" * 200), ("ins", "丙" * 200), ("eq", "。")]),
+])
+def test_edits_by_length(a, b, ops):
+    got = diff.graded_diff(a, b)
+    assert got[: len(ops)] == ops
+    assert "".join(t for o, t in got if o != "ins") == a and "".join(t for o, t in got if o != "del") == b
+
+
+def test_edits_of_rows_by_column():
+    assert diff.graded_diff("1 | 服务器 | 2台", "1 | 服务器 | 3台 | 新", rows=True) == [("eq", "1 | 服务器 | "), ("del", "2"), ("ins", "3"), ("eq", "台"), ("ins", " | 新")]
+
+
 def test_listing(spark):
     rows = spark.createDataFrame([(1, "low", 0.9), (2, "high", 0.1), (3, "high", 0.8), (4, "review", 1.0)], "cluster_no long, severity string, score double")
     page, total = listing.cluster_page(rows, 2, 1, ident=["cluster_no"])
@@ -148,10 +234,10 @@ def test_listing(spark):
     assert sorted(map(tuple, listing.inserted_or_ignored(stored, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
 
 
-@pytest.mark.parametrize("name", ["chunk_lines", "table_rows", "normalize_text", "dup_pairs", "idf", "recall_ngram", "clusters", "doc_matrix", "semantic_topk", "fact_conflicts", "cn_number_normalize", "graded_diff"])
+@pytest.mark.parametrize("name", ["chunk_lines", "table_rows", "normalize_text", "dup_pairs", "idf", "recall_ngram", "clusters", "doc_matrix", "semantic_topk", "fact_conflicts", "fact_extract", "entity_extract", "cn_number_normalize", "graded_diff", "template_match", "parse_text_files", "parse_workbooks", "parse_word_files", "cluster_details"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in "documents benchmark embeddings conversations".split():
+    for t in "documents benchmark embeddings conversations orders lineitem part customer nation".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = catalog.queries()[name](spark, SF)
     told = con.execute(catalog.oracle_sql()[name])
