@@ -22,7 +22,7 @@ from tessera.functions import diff as D
 from tessera.functions import entities as E
 from tessera.functions import minhash as M
 from tessera.functions import text as X
-from tessera.operators import aggregate, chunk, embed, facts, listing, recall, score
+from tessera.operators import aggregate, chunk, cluster, embed, facts, listing, recall, score
 from tessera.plans import oracle as O
 from tessera.plans.compare import CompareResult, compare, document_chunks, jobs_of_documents
 from tessera.sources import export, parse
@@ -84,11 +84,19 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark, sf_dir).select("doc_id", "chunk_type", F.col("order_index").cast("long").alias("order_index"), "text")
 
 
-@query()
+@query(f"""WITH RECURSIVE {O.LINES},
+parts AS (SELECT doc_id, coalesce(row_text, line) AS text, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn FROM ruled WHERE row_text IS NULL OR row_text != ''),
+walk AS (
+  SELECT doc_id, rn, 0 AS section, length(text) + 1 AS chars FROM parts WHERE rn = 1
+  UNION ALL SELECT p.doc_id, p.rn, CASE WHEN w.chars > 6000 THEN w.section + 1 ELSE w.section END, CASE WHEN w.chars > 6000 THEN 0 ELSE w.chars END + length(p.text) + 1
+  FROM walk w JOIN parts p ON p.doc_id = w.doc_id AND p.rn = w.rn + 1),
+sections AS (SELECT doc_id, section, max(chars) - 1 AS n_chars FROM walk GROUP BY ALL HAVING max(chars) - 1 >= 10)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS order_index, n_chars::BIGINT AS n_chars, '' AS path FROM sections""")
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section chunks; sections end after 6000 characters, which is sequential."""
+    """Section chunks; a section ends with the line that takes it beyond 6000 characters."""
     docs = _docs(spark, sf_dir).select("doc_id", chunk.text_blocks(F.col("text")).alias("blocks"))
-    return chunk.chunk_documents(docs).filter("chunk_level = 'section'").select("doc_id", "order_index", F.length("text").alias("n_chars"), "section_path")
+    out = chunk.chunk_documents(docs).filter("chunk_level = 'section'")
+    return out.select("doc_id", F.col("order_index").cast("long").alias("order_index"), F.length("text").cast("long").alias("n_chars"), F.array_join("section_path", " › ").alias("path"))
 
 
 @query(f"WITH {O.LINES} SELECT doc_id, line_no, row_text AS row FROM ruled WHERE row_text IS NOT NULL AND row_text != ''")
@@ -458,6 +466,55 @@ def entity_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.explode("entities").alias("e")).select("o_orderkey", "e.kind", "e.value")
 
 
+@query("""
+WITH o AS (SELECT o_orderkey, o_custkey % 36 AS d, floor(o_totalprice)::BIGINT // 50000 AS amount, o_orderkey % 3 AS p, lead(o_orderkey) OVER w AS other,
+             lead(floor(o_totalprice)::BIGINT // 50000) OVER w AS amount_b, lead(o_orderkey % 3) OVER w AS p_b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+n AS (SELECT *, 1 + (amount = amount_b)::INT + (p = p_b)::INT AS same FROM o WHERE other IS NOT NULL)
+SELECT o_orderkey, other, round(same / (6 - same), 6) AS similarity FROM n""")
+def entity_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8, K3: between neighbouring orders of a customer, from what their clauses say."""
+    text = "concat('合同金额', cast(floor(o_totalprice) as bigint) div 50000, '万元，质保', o_custkey % 36, '个月，折扣', o_orderkey % 3, '%')"
+    rows = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", E.entities(F.expr(text)).alias("e"))
+    after = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    pairs = rows.withColumn("other", F.lead("o_orderkey").over(after)).withColumn("f", F.lead("e").over(after)).filter("other is not null")
+    return pairs.select("o_orderkey", "other", F.round(X.entity_jaccard(F.col("e"), F.col("f")), 6).alias("similarity"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_type, p_brand, p_size % 4 AS depth, lead(p_type) OVER w AS type_b, lead(p_brand) OVER w AS brand_b, lead(p_size % 4) OVER w AS depth_b FROM part WINDOW w AS (PARTITION BY p_partkey // 2 ORDER BY p_partkey)),
+q AS (SELECT *, CASE WHEN least(depth, depth_b) >= 1 AND p_type = type_b THEN CASE WHEN least(depth, depth_b) >= 2 AND p_brand = brand_b THEN least(depth, depth_b) ELSE 1 END ELSE 0 END AS common FROM p WHERE depth_b IS NOT NULL)
+SELECT p_partkey, CASE WHEN depth = 0 OR depth_b = 0 THEN NULL ELSE round(2.0::DOUBLE * common / (depth + depth_b), 6) END AS similarity FROM q""")
+def path_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: between neighbouring parts, with type, brand and one more level as section paths."""
+    path = "slice(array(p_type, p_brand, 'leaf'), 1, p_size % 4)"
+    pair = Window.partitionBy(F.expr("p_partkey div 2")).orderBy("p_partkey")
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.expr(path).alias("x")).withColumn("y", F.lead("x").over(pair)).filter("y is not null")
+    return rows.select("p_partkey", F.round(X.path_similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+@query("""
+WITH j AS (SELECT DISTINCT c_custkey // 4 AS job_id FROM customer),
+c AS (SELECT job_id, CASE job_id % 3 WHEN 0 THEN [[0, 1], [2, 3]] WHEN 1 THEN [[1, 2, 3]] ELSE [[0, 1, 2, 3]] END AS parts FROM j)
+SELECT job_id, array_to_string(list_transform(m, lambda x: (job_id * 4 + x)::VARCHAR), ',') AS members, len(m) AS n_members FROM (SELECT job_id, unnest(parts) AS m FROM c)""")
+def cohesive_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of four chunks: chains that part in the middle, chains that lose an end, and dense ones that stay."""
+    jobs = _table(spark, sf_dir, "customer").select(F.expr("c_custkey div 4").alias("job_id")).distinct()
+    kinds = F.array(
+        F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in ((0, 1, 0.82), (1, 2, 0.71), (2, 3, 0.84))]),
+        F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in ((0, 1, 0.70), (1, 2, 0.81), (2, 3, 0.84))]),
+        F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(w).alias("w")) for a, b, w in ((0, 1, 0.75), (1, 2, 0.71), (2, 3, 0.84), (0, 2, 0.9), (1, 3, 0.8))]),
+    )
+    edges = jobs.select("job_id", F.explode(F.get(kinds, F.col("job_id") % 3)).alias("e"))
+    first, second = (F.col("job_id") * 4 + F.col(f"e.{x}") for x in "ab")
+    score_ = F.col("e.w").cast("double")
+    scored = edges.select(
+        "job_id", first.alias("a"), second.alias("b"), first.alias("doc_id_a"), second.alias("doc_id_b"), score_.alias("final_score"), score_.alias("lexical"),
+        F.lit(None).cast("double").alias("semantic"), F.lit(True).alias("keep"),
+    )
+    out = cluster.job_clusters(scored, 0.5)
+    return out.select("job_id", F.array_join("members", ",").alias("members"), F.size("members").cast("long").alias("n_members"))
+
+
 def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clause per line item: orders as groups, lines as documents."""
     party = "if(l_returnflag = 'R', '乙方', '甲方')"
@@ -504,6 +561,28 @@ def graded_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.select("a", "b", side("ins").alias("left_text"), side("del").alias("right_text"))
 
 
+def _shown(ops: F.Column) -> F.Column:
+    return F.array_join(F.transform(ops, lambda o: F.concat(o["op"], F.lit(":"), o["text"])), "|")
+
+
+@query("""
+SELECT p_partkey, 'char' AS kind, concat('eq:', p_name, '|ins: ', p_brand) AS script FROM part
+UNION ALL SELECT p_partkey, 'word', concat('eq:', repeat('lorem ', 12), '|del:alpha|ins:', 'omega', '|eq: ', repeat('dolor ', 12)) FROM part
+UNION ALL SELECT p_partkey, 'sentence', concat('eq:', repeat('x', 420), '。|ins:第', p_partkey, '条。') FROM part
+UNION ALL SELECT p_partkey, 'row', concat('eq:', p_partkey, ' | ', p_name, '|del: | ', p_brand) FROM part""")
+def diff_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edits between texts made of the parts' columns, by characters, words, sentences and columns."""
+    cases = {
+        "char": ("p_name", "concat(p_name, ' ', p_brand)"),
+        "word": ("concat(repeat('lorem ', 12), 'alpha ', repeat('dolor ', 12))", "concat(repeat('lorem ', 12), 'omega ', repeat('dolor ', 12))"),
+        "sentence": ("concat(repeat('x', 420), '。')", "concat(repeat('x', 420), '。第', p_partkey, '条。')"),
+        "row": ("concat(p_partkey, ' | ', p_name, ' | ', p_brand)", "concat(p_partkey, ' | ', p_name)"),
+    }
+    cases = F.array(*[F.struct(F.lit(k).alias("kind"), F.expr(a).alias("a"), F.expr(b).alias("b")) for k, (a, b) in cases.items()])
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.explode(cases).alias("c"))
+    return rows.select("p_partkey", "c.kind", _shown(D.diff_column(F.col("c.a"), F.col("c.b"), F.col("c.kind") == "row")).alias("script"))
+
+
 # ------------------------------------------------------ files, previews, reports
 @query(f"WITH {O.CHUNKS}, one AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1) SELECT doc_id, order_index, chunk_type, text FROM chunks JOIN one USING (doc_id) ORDER BY order_index LIMIT 5000")
 def preview_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -562,7 +641,15 @@ def parse_word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select(F.col("path").cast("long").alias("n_nationkey"), F.col("b.block_idx").cast("long").alias("line"), "b.heading_level", "b.text")
 
 
-_REPORT_JOB = "one AS (SELECT job_id FROM described GROUP BY job_id ORDER BY count(*) DESC, job_id LIMIT 1)"
+_REPORT_JOB = "one AS (SELECT job_id FROM by_hash GROUP BY job_id ORDER BY count(*) DESC, job_id LIMIT 1)"
+
+
+def _report(spark: SparkSession, sf_dir: str) -> dict | None:
+    """The report of the job with most pairs of equal chunks; only that job is compared."""
+    top = recall.hash_pairs(_light(spark, sf_dir)).groupBy("job_id").count().orderBy(F.desc("count"), "job_id").first()
+    if top is None:
+        return None
+    return export.assemble(compare(document_chunks(_docs(spark, sf_dir).filter(F.expr("doc_id div 10") == top[0]))), top[0])
 
 
 @query(f"""WITH {O.COMPONENTS}, {_REPORT_JOB}
@@ -571,13 +658,10 @@ SELECT CASE d.cluster_type WHEN 'same' THEN '相同' WHEN 'minor_change' THEN '
        substring('甲乙丙丁戊己庚辛壬癸', (dense_rank() OVER (ORDER BY m.doc_id))::INT, 1) AS doc_rank_tag, m.doc_id, CASE m.role WHEN 'primary' THEN '主' ELSE '重复' END AS role, m.text
 FROM member m JOIN one USING (job_id) JOIN described d ON d.job_id = m.job_id AND d.root = m.root""".replace("(dense_rank() OVER (ORDER BY m.doc_id))::INT", "(SELECT count(DISTINCT c.doc_id) FROM comp c WHERE c.job_id = m.job_id AND c.doc_id <= m.doc_id)::INT").replace("AS doc_rank_tag, m.doc_id,", "AS doc,"))
 def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report of the job with most clusters, written as CSV and read back."""
-    result = _result(spark, sf_dir)
-    top = result.clusters.groupBy("job_id").count().orderBy(F.desc("count"), "job_id").first()
+    """The report of the job with most equal chunks, written as CSV and read back."""
+    report = _report(spark, sf_dir)
     schema = "kind string, severity string, doc string, role string, text string"
-    if top is None:
-        return spark.createDataFrame([], schema)
-    rows = list(csv.DictReader(io.StringIO(export.export(export.assemble(result, top[0]), "csv").decode("utf-8-sig"))))
+    rows = [] if report is None else list(csv.DictReader(io.StringIO(export.export(report, "csv").decode("utf-8-sig"))))
     return spark.createDataFrame([(r["类型"], r["风险"], r["文档"], r["角色"], r["文本"]) for r in rows], schema)
 
 
@@ -587,10 +671,9 @@ FROM primary_member p JOIN one USING (job_id) JOIN primary_member q ON q.job_id
 QUALIFY row_number() OVER (PARTITION BY p.doc_id, q.doc_id ORDER BY d.avg_score DESC, p.root) <= 40""")
 def report_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of the same report with their edits, as JSON; both texts are put together from the edits."""
-    result = _result(spark, sf_dir)
-    top = result.clusters.groupBy("job_id").count().orderBy(F.desc("count"), "job_id").first()
+    report = _report(spark, sf_dir)
     schema = "doc_a long, doc_b long, text_a string, text_b string, cluster_type string"
-    told = [] if top is None else json.loads(export.export(export.assemble(result, top[0]), "json"))["pairs"]
+    told = [] if report is None else json.loads(export.export(report, "json"))["pairs"]
     side = lambda ops, other: "".join(text for op, text in ops if op != other)
     return spark.createDataFrame([(p["docA"], p["docB"], side(t["ops"], "ins"), side(t["ops"], "del"), t["type"]) for p in told for t in p["texts"]], schema)
 
@@ -657,6 +740,38 @@ def pair_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("job_id", "text_a", "text_b", "cluster_type", _r6("score").alias("score"))
 
 
+@query(f"""WITH p AS (SELECT o_orderkey, {_SEVERITY} AS severity, CASE WHEN o_orderkey % 5 = 0 THEN 'added' WHEN o_orderkey % 7 = 0 THEN 'deleted' ELSE 'changed' END AS cluster_type FROM orders
+ORDER BY CASE {_SEVERITY} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, o_totalprice DESC, o_orderkey LIMIT 40) SELECT * FROM p WHERE cluster_type = 'changed'""")
+def cluster_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10b with orders as clusters: the first forty, and of these all but added and deleted ones."""
+    kind = F.expr("CASE WHEN o_orderkey % 5 = 0 THEN 'added' WHEN o_orderkey % 7 = 0 THEN 'deleted' ELSE 'changed' END")
+    rows = _table(spark, sf_dir, "orders").select(F.lit(0).alias("job_id"), F.col("o_orderkey").alias("cluster_no"), F.expr(_SEVERITY).alias("severity"), kind.alias("cluster_type"), F.col("o_totalprice").alias("score"))
+    return listing.cluster_feed(rows).select(F.col("cluster_no").alias("o_orderkey"), "severity", "cluster_type")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_type = 'ECONOMY' AND contains(lower(p_name), 'red') AND p_size % 2 = 0")
+def job_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 with parts as jobs: by part of the name, starred ones only."""
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.expr("if(p_type = 'ECONOMY', 'compare', 'import')").alias("job_type"), F.expr("p_size % 2 = 0").alias("starred"), F.col("p_size").alias("created_at"), F.col("p_partkey").alias("job_id"))
+    return listing.filtered_jobs(rows, "RED", True).select("p_partkey", F.col("name").alias("p_name"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def newest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4 with orders as jobs: the newest hundred."""
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("created_at"))
+    return listing.listed(rows, "jobs", "o_orderkey").limit(100).select("o_orderkey")
+
+
+@query(f"WITH {O.COMPONENTS} SELECT job_id, root AS first_chunk, doc_id, cid, role, text FROM member")
+def cluster_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All members of all clusters with their texts."""
+    result = _result(spark, sf_dir)
+    first = result.raw_clusters.select("job_id", "cluster_no", F.array_min("members").alias("first_chunk"))
+    rows = listing.cluster_detail(first, result.members, result.chunks).join(first, ["job_id", "cluster_no"])
+    return rows.select("job_id", "first_chunk", "doc_id", "cid", "role", "text")
+
+
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest_event_type, count(*) AS n FROM events GROUP BY user_id")
 def latest_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J14, A8 with events as jobs and users as workspaces."""

@@ -234,7 +234,7 @@ def test_listing(spark):
     assert sorted(map(tuple, listing.inserted_or_ignored(stored, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
 
 
-@pytest.mark.parametrize("name", ["chunk_lines", "table_rows", "normalize_text", "dup_pairs", "idf", "recall_ngram", "clusters", "doc_matrix", "semantic_topk", "fact_conflicts", "fact_extract", "entity_extract", "cn_number_normalize", "graded_diff", "template_match", "parse_text_files", "parse_workbooks", "parse_word_files", "cluster_details"])
+@pytest.mark.parametrize("name", ["chunk_lines", "table_rows", "normalize_text", "dup_pairs", "idf", "recall_ngram", "clusters", "doc_matrix", "semantic_topk", "fact_conflicts", "fact_extract", "entity_extract", "cn_number_normalize", "graded_diff", "template_match", "parse_text_files", "parse_workbooks", "parse_word_files", "cluster_details", "chunk_sections", "cohesive_split", "diff_scripts", "entity_similarity", "path_similarity", "report_csv", "report_pairs"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in "documents benchmark embeddings conversations orders lineitem part customer nation".split():
