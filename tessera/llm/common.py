@@ -24,8 +24,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of 8 MB: a worker then needs little memory whatever the texts' length."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Hand texts to Python in batches of 2 MB: a worker then needs little memory whatever the texts' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
@@ -35,6 +35,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def join_spread(rows: DataFrame, found: DataFrame, key: str, least: int = 1_000, counted: DataFrame | None = None, by: str | None = None) -> DataFrame:
+    """Left join of ``rows`` with ``found``, which has a row per key, though one key may hold a third of ``rows``.
+
+    Keys of more than ``least`` rows, and more than 1/100,000 of all, are counted (in
+    ``counted`` if given) and dealt over as many tasks as they have such shares, by the
+    column ``by`` or else in turn; their rows of ``found`` go to each. Without ``by``
+    ``rows`` must be checkpointed or a table, so that a retry deals alike.
+    """
+    counted = rows if counted is None else counted
+    counts = checkpointed(counted.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col(key).isNotNull() & (F.col("_n") > least)))
+    many = counts.limit(100_001).count() > 100_000
+    share = max(least, counted.count() // 100_000) if many else least
+    hot = F.broadcast(counts.filter(F.col("_n") > share).select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / share).cast("int").alias("_shares")))  # at most 100,000 rows
+    shares, turn = F.coalesce("_shares", F.lit(1)), F.xxhash64(by) if by else F.monotonically_increasing_id()
+    dealt = rows.join(hot, rows[key] == F.col("_hot"), "left").withColumn("_at", F.pmod(turn, shares).cast("int")).drop("_hot", "_shares")
+    known = found.withColumnRenamed(key, "_key").join(hot, F.col("_key") == F.col("_hot"), "left")
+    known = known.withColumn("_to", F.explode(F.sequence(F.lit(0), shares - 1))).drop("_hot", "_shares")
+    return dealt.join(known, (dealt[key] == known["_key"]) & (dealt["_at"] == known["_to"]), "left").drop("_key", "_at", "_to")
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

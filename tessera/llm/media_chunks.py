@@ -9,7 +9,8 @@ In the corpus a chunk is stored once: digests are counted, chunks that occur onc
 stay with their document, and the data of every digest that occurs more often goes
 to a store, one row per digest. Reading back joins the chunk lists with the store
 and rebuilds each stored form in order; chunk digests and the whole payload's
-digest are verified.
+digest are verified. The texts are read twice, to count and to store; a document
+without shared chunks meets no join.
 
 The set of shared digests is given to the tasks as one array of 16 bytes each while
 there are at most ``broadcast_digests``; beyond that every chunk goes through the
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches
+from tessera.llm.common import bounded_batches, checkpointed, join_spread
 
 UNIT = 192
 PAD = b" "
@@ -141,61 +142,43 @@ def _digests(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(of, "digest binary")
 
 
-def _rows(docs: DataFrame, shared: Callable[[], frozenset | None]) -> DataFrame:
-    """One row per document: its fields if all of its chunks are its own, else only the key to look them up."""
+def _stored(docs: DataFrame, shared: Callable[[], frozenset | None]) -> DataFrame:
+    """All that one reading of the texts gives, told apart by ``kind``.
+
+    doc: a document's id, size and fields if all of its chunks are its own, else the
+    key of its payload. part: a place of a chunk list (key, idx, digest), with the data
+    of a chunk of the document's own. chunk: a shared digest with its data. Parts and
+    chunks come once a task.
+    """
+    columns = ["kind", "doc_id", "n_bytes", "key", "idx", "digest", "data", *_FIELDS]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared()
+        known, listed, sent = shared(), set(), set()
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 payload, n = payload_of(text)
                 chunks = chunks_of(payload)
-                own = known is not None and not any(d in known for d, _ in chunks)
-                fields = describe(store_media(chunks)) if own else (None,) * 6
-                out.append((doc, n, "" if own else hashlib.sha256(payload).hexdigest(), *fields))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "key", *_FIELDS])
-            for c in ("doc_id", "payload_bytes", "tail_crc32", "media_bytes"):
+                if known is not None and not any(d in known for d, _ in chunks):
+                    out.append(("doc", doc, n, None, None, None, None, *describe(store_media(chunks))))
+                    continue
+                key = hashlib.sha256(payload).hexdigest()
+                out.append(("doc", doc, n, key, *(None,) * 9))
+                if key in listed:
+                    continue
+                listed.add(key)
+                for i, (d, c) in enumerate(chunks):
+                    own = known is not None and d not in known
+                    out.append(("part", None, None, key, i, d, zlib.compress(c, 6) if own else None, *(None,) * 6))
+                    if not own and d not in sent:
+                        sent.add(d)
+                        out.append(("chunk", None, None, None, None, d, zlib.compress(c, 6), *(None,) * 6))
+            frame = pd.DataFrame(out, columns=columns)
+            for c in ("doc_id", "n_bytes", "idx", "payload_bytes", "tail_crc32", "media_bytes"):
                 frame[c] = pd.array(frame[c], dtype="Int64")
             yield frame
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(of, f"doc_id long, n_bytes long, key string, {_TYPES}")
-
-
-def _parts(docs: DataFrame, shared: Callable[[], frozenset | None]) -> DataFrame:
-    """The chunk lists of documents with a shared chunk: key, idx, digest, and the data of chunks of their own."""
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared()
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                payload, _ = payload_of(text)
-                chunks = chunks_of(payload)
-                if known is None or any(d in known for d, _ in chunks):
-                    key = hashlib.sha256(payload).hexdigest()
-                    out += [(key, i, d, None if known is None or d in known else zlib.compress(c, 6)) for i, (d, c) in enumerate(chunks)]
-            yield pd.DataFrame(out, columns=["key", "idx", "digest", "data"])
-
-    return docs.select("text").mapInPandas(of, "key string, idx int, digest binary, data binary")
-
-
-def _store(docs: DataFrame, shared: Callable[[], frozenset | None]) -> DataFrame:
-    """The chunk store: one row per shared digest with its data."""
-
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, sent = shared(), set()
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                for d, c in chunks_of(payload_of(text)[0]):
-                    if (known is None or d in known) and d not in sent:
-                        if known is not None:
-                            sent.add(d)
-                        out.append((d, zlib.compress(c, 6)))
-            yield pd.DataFrame(out, columns=["digest", "data"])
-
-    return docs.select("text").mapInPandas(of, "digest binary, data binary").groupBy("digest").agg(F.first("data").alias("data"))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(of, f"kind string, doc_id long, n_bytes long, key string, idx long, digest binary, data binary, {_TYPES}")
 
 
 def _rebuilt(pieces: DataFrame) -> DataFrame:
@@ -220,14 +203,13 @@ def _rebuilt(pieces: DataFrame) -> DataFrame:
                     raise MediaError(f"payload {k} has no chunk {len(chunks)}")
                 chunks.append((bytes(digest), zlib.decompress(data)))
             if done:
-                yield pd.DataFrame(done, columns=["_key", *[f"r_{f}" for f in _FIELDS]])
+                yield pd.DataFrame(done, columns=["key", *_FIELDS])
                 done = []
         if key is not None:
             close()
-            yield pd.DataFrame(done, columns=["_key", *[f"r_{f}" for f in _FIELDS]])
+            yield pd.DataFrame(done, columns=["key", *_FIELDS])
 
-    typed = ", ".join(f"r_{t}" for t in _TYPES.split(", "))
-    return pieces.mapInPandas(of, f"_key string, {typed}")
+    return pieces.mapInPandas(of, f"key string, {_TYPES}")
 
 
 def media_column(docs: DataFrame, broadcast_digests: int = 1_000_000) -> DataFrame:
@@ -252,10 +234,15 @@ def media_column(docs: DataFrame, broadcast_digests: int = 1_000_000) -> DataFra
         def shared() -> frozenset | None:
             return None
 
-    rows, parts = _rows(docs, shared), _parts(docs, shared)
+    stored = checkpointed(_stored(docs, shared))
+    rows, parts, chunks = (stored.filter(F.col("kind") == kind) for kind in ("doc", "part", "chunk"))
+    store = chunks.groupBy("digest").agg(F.first("data").alias("data"))
     listed = parts.filter("data is null").select("key", "idx", "digest").distinct()
-    read = listed.join(_store(docs, shared), "digest").select("key", "idx", "digest", "data")
-    pieces = read.union(parts.filter("data is not null")).repartition("key").sortWithinPartitions("key", "idx")
-    rebuilt = _rebuilt(pieces)
-    out = rows.join(rebuilt, rows["key"] == rebuilt["_key"], "left")
-    return out.select("doc_id", "n_bytes", *[F.coalesce(f, f"r_{f}").alias(f) for f in _FIELDS])
+    read = listed.join(store, "digest").select("key", "idx", "digest", "data")
+    own = parts.filter("data is not null").select("key", "idx", "digest", "data")
+    rebuilt = _rebuilt(read.union(own).repartition("key").sortWithinPartitions("key", "idx"))
+    whole = rows.filter("key is null").select("doc_id", "n_bytes", *_FIELDS)
+    shared_rows = checkpointed(rows.filter("key is not null").select("doc_id", "n_bytes", "key"))
+    joined = join_spread(shared_rows, rebuilt, "key")
+    missing = F.when(F.col("payload_bytes").isNull(), F.raise_error(F.concat(F.lit("no chunks of payload "), "key"))).otherwise(F.col("n_bytes"))
+    return whole.union(joined.select("doc_id", missing.cast("long").alias("n_bytes"), *_FIELDS))
