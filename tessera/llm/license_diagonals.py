@@ -5,7 +5,9 @@ the same k-gram in license templates. A hit votes for the diagonal document
 position - template position: a verbatim notice is one diagonal, one with words
 added or left out a few neighbouring ones. Votes are aggregated per diagonal,
 neighbouring diagonals are merged, and a merged span counts as the license if it
-holds enough of the template's k-grams within a span of the template's length.
+holds enough of the template's k-grams. A span longer than two templates, as of a
+notice that is repeated, is verified in windows of that length, each half over the
+next.
 
 DataFrame functions only. k-grams with a word that is in no template can hit
 nothing and are left out before the join; hits are compared word by word, not by
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tessera.llm.common import ascii_lower, checkpointed
+from tessera.llm.common import ascii_lower, checkpointed, join_spread
 
 K = 3
 #: Diagonals at most this far apart are neighbours.
@@ -35,15 +37,30 @@ TEMPLATES = (
     ("all-rights-reserved", "all rights reserved"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+                   "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+            "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+            "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by-4.0", "licensed under cc by 4 0"),
+    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
+    ("cc-by-sa-4.0", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("mit-notice", "released under the mit license"),
     ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-)
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+                 "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+                 "and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+)
 
 
 def _grams(templates: tuple) -> list[tuple[str, int, int, str]]:
@@ -120,14 +137,20 @@ def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple =
     order = Window.partitionBy("key", "template").orderBy("diagonal")
     new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > GAP, F.lit(True)).cast("int")
     islands = diagonals.withColumn("new", new).withColumn("island", F.sum("new").over(order))
-    spans = islands.groupBy("key", "label", "template", "n_grams", "island").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("seen"), F.min("start").alias("start"), F.max("stop").alias("stop")
-    )
-    spans = spans.filter(F.col("stop") - F.col("start") + 1 <= 2 * F.col("n_grams")).withColumn("cover", F.col("seen") / F.col("n_grams"))
+    island = Window.partitionBy("key", "template", "island")
+    islands = islands.withColumn("length", F.max("stop").over(island) - F.min("start").over(island) + 1)
+    fits = F.col("length") <= 2 * F.col("n_grams")
+    seen = islands.filter(fits).groupBy("key", "label", "template", "n_grams", "island").agg(F.flatten(F.collect_list("seen")).alias("seen"))
+    spans = seen.select("key", "label", "n_grams", F.size(F.array_distinct("seen")).alias("seen"))
+    hits = islands.filter(~fits).select("key", "label", "template", "n_grams", "island", "diagonal", F.explode("seen").alias("tpos"))
+    window = F.floor((F.col("diagonal") + F.col("tpos")) / F.col("n_grams"))
+    hits = hits.withColumn("window", F.explode(F.array(window - 1, window)))
+    windows = hits.groupBy("key", "label", "template", "n_grams", "island", "window").agg(F.size(F.collect_set("tpos")).alias("seen"))
+    spans = spans.union(windows.select("key", "label", "n_grams", "seen")).withColumn("cover", F.col("seen") / F.col("n_grams"))
     found = spans.groupBy("key").agg(
         F.collect_set(F.when(F.col("cover") >= MIN_COVER, F.col("label"))).alias("own"), F.max("cover").alias("cover")
-    ).withColumnRenamed("key", "_key")
-    out = rows.join(found, rows["key"] == found["_key"], "left")
+    )
+    out = join_spread(rows, found, "key")
     return out.select(
         "doc_id", "n_words", F.size("starts").cast("long").alias("n_base"),
         F.array_min("starts").cast("long").alias("first_word"), F.array_max("starts").cast("long").alias("last_word"),
