@@ -1,8 +1,9 @@
 """Reproducible shuffle and sharding by a Feistel permutation of global row numbers.
 
-Every row gets a global number: rows fall into a fixed number of hash buckets, are
-counted per bucket, and are numbered within their bucket after the rows of the
-buckets before. A keyed Feistel network over a x b >= N points, walked until the
+Every row gets a global number, its place in the order of a hash: rows fall into
+buckets by the hash's leading bits, are counted per bucket, and are numbered within
+their bucket after the rows of the buckets before. The numbers do not depend on the
+number of buckets, which grows with the rows. A keyed Feistel network over a x b >= N points, walked until the
 point is below N, permutes 0..N-1; shard and slot follow from the permuted number
 alone (p mod shards, p div shards), for any row, without looking at another.
 
@@ -20,8 +21,8 @@ from pyspark.sql import Window
 
 from tessera.llm.common import checkpointed
 
-#: Buckets of the numbering: each is one sorted run, of N / BUCKETS rows.
-BUCKETS = 4096
+#: Rows of a bucket of the numbering, about, and the least bits of the hash that name one. Each bucket is one sorted run.
+BUCKET_ROWS, BUCKET_BITS = 100_000, 12
 ROUNDS = 4
 SEED = 20_240_607
 
@@ -62,21 +63,23 @@ def permuted(x: Column, n: int, seed: int = SEED) -> Column:
     return F.aggregate(F.array(walk), F.lit(0).cast("long"), lambda z, y: F.when(y < n, y).otherwise(F.raise_error(F.lit("cycle walk too long")).cast("long")))
 
 
-def row_numbers(rows: DataFrame, by: list[str], buckets: int = BUCKETS, out: str = "row_number") -> tuple[DataFrame, int]:
+def row_numbers(rows: DataFrame, by: list[str], bucket_rows: int = BUCKET_ROWS, out: str = "row_number") -> tuple[DataFrame, int]:
     """Number all rows from 0 in an order that depends on the columns ``by`` alone; and their count.
 
     Rows that are equal in ``by`` are interchangeable. No total sort: each bucket
     is sorted by itself and starts where the buckets before it end.
     """
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    total = rows.count()
+    bits = max(BUCKET_BITS, math.ceil(math.log2(max(1, total / bucket_rows))))
+    rows = rows.withColumn("_hash", F.xxhash64(*by)).withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - bits))
     counts = rows.groupBy("_bucket").agg(F.count("*").alias("n"))
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = checkpointed(counts.select(F.col("_bucket").alias("_b"), "n").withColumn("_start", F.sum("n").over(upto) - F.col("n")))
-    total = starts.agg(F.sum("n")).first()[0] or 0
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in by])) - 1
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", *[F.col(c).asc_nulls_first() for c in by])) - 1
     numbered = rows.withColumn("_inside", inside)
-    numbered = numbered.join(F.broadcast(starts.select("_b", "_start")), F.col("_bucket") == F.col("_b"))  # at most `buckets` rows
-    return numbered.withColumn(out, F.col("_start") + F.col("_inside")).drop("_bucket", "_b", "_start", "_inside"), total
+    starts = starts.select("_b", "_start")  # 16 bytes for each 100,000 rows, or 4,096 of them
+    numbered = numbered.join(F.broadcast(starts) if bits <= 20 else starts, F.col("_bucket") == F.col("_b"))
+    return numbered.withColumn(out, F.col("_start") + F.col("_inside")).drop("_hash", "_bucket", "_b", "_start", "_inside"), total
 
 
 def with_sizes(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -35,6 +35,8 @@ LEAST_BLOCKS = 1_000
 GOLDEN = 618_033_988_749_895
 MODULUS = 1_000_000_000_000_000
 CELLS = 4096
+#: Rows of a hash bucket, about, and the least hexadecimal digits that name one.
+BUCKET_ROWS, BUCKET_DIGITS = 100_000, 3
 _ORDER_KEY = "md5(concat('mix|', coalesce(cast(doc_id as string), 'null'), '|', cast(size as string)))"
 
 
@@ -105,7 +107,9 @@ def mix_sources(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     smaller = targets.filter((F.col("block") < block) & (F.col("source_size") > 0)).agg(F.count("*")).first()[0]
     n = math.ceil(targets.agg(F.sum("share")).first()[0] / block) if smaller else -(-total // block)
     # where each document starts in its source's shuffled order: bucket totals first, then within the bucket
-    keyed = rows.withColumn("k", F.expr(_ORDER_KEY)).withColumn("b", F.expr("substring(k, 1, 3)"))
+    # the bucket is the start of the key, so its length changes no order
+    digits = max(BUCKET_DIGITS, math.ceil(math.log(max(1, rows.count() / BUCKET_ROWS), 16)))
+    keyed = rows.withColumn("k", F.expr(_ORDER_KEY)).withColumn("b", F.substring("k", 1, digits))
     short = targets.select(F.col("source").alias("_source"), "rank", "source_size", "target", "block")
     keyed = keyed.join(short, keyed["source"].eqNullSafe(short["_source"])).drop("_source")
     sums = keyed.groupBy("rank", "b").agg(F.sum("size").alias("in_bucket"))
