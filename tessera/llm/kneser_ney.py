@@ -34,7 +34,7 @@ ORDER = 4
 WIDTH = 21
 CHARACTERS = 0x110000
 #: Characters that a task looks at at a time, at about 150 bytes each.
-SLICE = 1 << 19
+SLICE = 1 << 17
 
 
 # ------------------------------------------------------------------ character n-grams

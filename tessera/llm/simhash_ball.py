@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.minhash import _A, _B
-from tessera.llm.common import bounded_batches, checkpointed
+from tessera.llm.common import bounded_batches, checkpointed, join_spread
 from tessera.llm.components import connected_components
 
 BITS = 64
@@ -128,7 +128,8 @@ def _digest(shingles: np.ndarray) -> int:
 def _prints(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
         sets = [shingle_set(t) for t in s]
-        yield pd.DataFrame({"node": [_digest(x) for x in sets], "keys": [band_keys(x) for x in sets]})
+        fps = np.array([_majority(x) for x in sets], dtype=np.uint64).view(np.int64)
+        yield pd.DataFrame({"node": [_digest(x) for x in sets], "fp": fps, "keys": [band_keys(x) for x in sets]})
 
 
 def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -307,49 +308,115 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         return pd.Series([similar(x, y, threshold) for x, y in zip(xs, ys, strict=True)], dtype=bool)
 
     a, b = (sets.select(F.col("node").alias(n), F.col("shingles").alias(x)) for n, x in (("u", "x"), ("v", "y")))
-    return checkpointed(pairs.join(a, "u").join(b, "v").filter(alike("x", "y")).select("u", "v"))
+    both = join_spread(pairs.join(a, "u"), b, "v", counted=pairs, by="u")
+    return checkpointed(both.filter(alike("x", "y")).select("u", "v"))
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """One row per distinct id: ``(id, component_id)`` of texts with a five-word-shingle Jaccard similarity of ``threshold``.
+def _ball_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes(node, fp)`` to pairs (u, v) that join all nodes whose fingerprints the balls join."""
+    hubs = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("hub")))
+    links = fingerprint_links(hubs.select(F.lit(0).alias("view"), "fp"), radius)
+    u, v = (hubs.select(F.col("fp").alias(f), F.col("hub").alias(h)) for f, h in (("u", "a"), ("v", "b")))
+    apart = links.select("u", "v").join(u, "u").join(v, "v").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    alike = join_spread(nodes, hubs, "fp").filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    return apart.union(alike)
 
-    Texts with equal shingle sets are one node. Nodes are compared where they share
-    one of BANDS keys of BAND_ROWS MinHash values, which two texts with a similarity
-    of 0.8 miss once in 20,000. First each is compared with one node of its bucket;
-    then all pairs of a bucket that are not in one component yet are. Every link is
-    verified by the exact similarity, and components are those of all pairs that
-    share a key. Null ids are left out; copies of an id count as one document, and
-    texts without words are equal.
+
+def _similar_by_prefix(nodes: DataFrame, sets: DataFrame, threshold: float, width: float = 1.1) -> DataFrame:
+    """``nodes(node, comp)`` to pairs (u, v) of different components; all with the similarity ``threshold`` are among them.
+
+    Shingles are in one order, the rarest first. Sets of n and m with that similarity
+    share at least k = t / (1 + t) * (n + m) shingles, so the first n - k + 1 of the one
+    and m - k + 1 of the other have one in common, and behind it k - 1 are left in both.
+    m is known up to its class of sizes (powers of ``width``). Near copies that differ
+    too much have shingles of their own in all these places and make no pair, however
+    large their group is.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for node, shingles in zip(pdf["node"], pdf["shingles"], strict=True):
+                tokens = np.frombuffer(shingles, dtype=np.int64)
+                yield pd.DataFrame({"node": node, "n": len(tokens), "token": tokens})
+
+    def share(n: F.Column, m: F.Column) -> F.Column:
+        return F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
+
+    def size_class(n: F.Column) -> F.Column:
+        return F.floor(F.log(n) / math.log(width) + 1e-9)
+
+    some = sets.join(nodes.select("node"), "node", "left_semi")
+    tokens = checkpointed(some.select("node", "shingles").mapInPandas(listed, "node long, n long, token long"))
+    df = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("tokens")
+    lists = join_spread(tokens, df, "token").groupBy("node", "n").agg(order).join(nodes, "node")
+    n, partner = F.col("n"), F.col("partner")
+    classes = F.sequence(size_class(F.ceil(n * threshold)), size_class(F.floor(n / threshold)))
+    lists = lists.select("node", "comp", "n", size_class(n).alias("own"), "tokens", F.explode(classes).alias("partner"))
+    least = F.greatest(F.ceil(F.pow(F.lit(width), partner) - 1e-6), F.ceil(n * threshold - 1e-9))
+    first = F.slice("tokens", F.lit(1), F.greatest(n - share(n, least) + 1, F.lit(0)).cast("int"))
+    posted = lists.select("node", "comp", "n", "own", "partner", F.posexplode(first).alias("i", "t")).filter("t.df > 1")
+    posted = checkpointed(posted.select(F.col("t.token").alias("token"), "own", "partner", "node", "comp", "n", "i"))
+    counts = posted.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    main = counts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
+    posted = posted.join(main.select("token", F.col("most.comp").alias("main")), "token")
+    a = posted.filter("comp != main").select("token", "own", "partner", *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "i")])
+    b = posted.select("token", F.col("partner").alias("own"), F.col("own").alias("partner"), "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "i")])
+    left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    apart = F.expr("comp_a != comp_b and (comp_b = main or node_a < node_b)")
+    found = a.join(b, ["token", "own", "partner"]).filter(apart & (left >= share(F.col("n_a"), F.col("n_b"))))
+    return found.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
+
+
+def similar_groups(docs: DataFrame, keep: list[str], text_col: str = "text", threshold: float = 0.8, radius: int = 4, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """Every row of ``docs`` as its columns ``keep`` and ``component``, the number of its group of near copies.
+
+    Near copies have a Jaccard similarity of at least ``threshold`` of their sets of
+    five-word shingles, exactly: each link is verified. Texts with equal sets are one
+    node; null texts and texts without words are equal. Nodes meet where their SimHash
+    fingerprints (of the set) are within ``radius`` bits, by balls. Pairs that are just
+    similar enough are some ten bits apart, beyond any ball that can be written out; so
+    nodes also meet where they share one of BANDS keys of BAND_ROWS MinHash values,
+    which two texts with a similarity of 0.8 miss once in 20,000. First each is compared
+    with one node that it meets. Of the nodes of a bucket that are not in one component
+    yet, those pairs are compared that can be similar enough by the rare shingles that
+    they share (see _similar_by_prefix). Components are those of all verified pairs that
+    meet. No rows give no rows.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null")
+    rows = docs.select(*keep, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("_key"), F.col(text_col).alias("_text"))
     # not deterministic, so that no filter repeats them
-    prints_of = F.pandas_udf(_prints, "node long, keys array<long>").asNondeterministic()
+    prints_of = F.pandas_udf(_prints, "node long, fp long, keys array<long>").asNondeterministic()
     sets_of = F.pandas_udf(_sets, "node long, shingles binary").asNondeterministic()
-    prints = checkpointed(rows.select("_id", prints_of("_text").alias("p")).select("_id", "p.*"))
-    nodes = checkpointed(prints.groupBy("node").agg(F.min("_id").alias("_least"), F.first("keys").alias("keys")))
+    prints = checkpointed(rows.select(*keep, "_key", prints_of("_text").alias("_p")).select(*keep, "_key", "_p.*"))
+    nodes = checkpointed(prints.groupBy("node").agg(F.min("_key").alias("_least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     members = checkpointed(buckets.join(hubs, "key").select("key", "node", "hub"))
+    star = members.filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    star = checkpointed(star.union(_ball_pairs(nodes.select("node", "fp"), radius)).distinct())
     # the sets of nodes that meet another one, from one text each
-    met = checkpointed(members.select("node").distinct().join(nodes.select("node", "_least"), "node").select(F.col("node").alias("_node"), "_least"))
-    met = F.broadcast(met) if met.count() <= broadcast_ids else met.hint("shuffle_merge")
-    sets = rows.join(met, F.col("_id") == F.col("_least")).select("_node", sets_of("_text").alias("s")).filter("_node = s.node")
+    met = members.select("node").union(star.select("u")).union(star.select("v")).distinct()
+    met = checkpointed(met.join(nodes.select("node", "_least"), "node").select(F.col("node").alias("_node"), "_least"))
+    met = F.broadcast(met) if met.count() <= broadcast_keys else met.hint("shuffle_merge")
+    sets = rows.join(met, F.col("_key") == F.col("_least")).select("_node", sets_of("_text").alias("s")).filter("_node = s.node")
     sets = checkpointed(sets.select("s.*").dropDuplicates(["node"]))
-    star = checkpointed(members.filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
     links = _verified(star, sets, threshold)
     roots = connected_components(links).withColumnRenamed("node", "_node")
     placed = members.join(roots, members["node"] == roots["_node"], "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
-    open_ = checkpointed(placed.join(mixed.select("key", F.col("most.comp").alias("main")), "key"))
-    a = open_.filter("comp != main").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    b = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), "main")
-    rest = a.join(b, "key").filter("ca != cb and (cb = main or a < b)").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    links = links.union(_verified(rest.join(star, ["u", "v"], "left_anti"), sets, threshold))
-    least = nodes.select("node", "_least")
-    near = links.join(least.select(F.col("node").alias("u"), F.col("_least").alias("a")), "u").join(least.select(F.col("node").alias("v"), F.col("_least").alias("b")), "v")
-    equal = prints.select("_id", "node").join(least, "node").select(F.col("_id").alias("u"), F.col("_least").alias("v"))
-    roots = connected_components(near.select(F.col("a").alias("u"), F.col("b").alias("v")).union(equal))
-    ids = prints.select("_id").distinct()
-    return ids.join(roots, ids["_id"] == roots["node"], "left").select(F.col("_id").alias(id_col), F.coalesce("root", "_id").alias("component_id"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
+    open_ = checkpointed(placed.join(mixed, "key").select("node", "comp").distinct())
+    rest = checkpointed(_similar_by_prefix(open_, sets, threshold).join(star, ["u", "v"], "left_anti"))
+    roots = connected_components(links.union(_verified(rest, sets, threshold))).withColumnRenamed("root", "_root")
+    return join_spread(prints.select(*keep, "node"), roots, "node").select(*keep, F.coalesce("_root", "node").alias("component"))
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """One row per row of ``docs``: its id and component_id, the smallest id of its group of near copies (see similar_groups).
+
+    Rows of one id are judged by their own texts. A null id gets its group's smallest
+    id, which is null only if all of the group's are.
+    """
+    rows = checkpointed(similar_groups(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_said")), ["_id"], "_said", threshold))
+    least = rows.groupBy("component").agg(F.min("_id").alias("component_id"))
+    return join_spread(rows, least, "component").select(F.col("_id").alias(id_col), "component_id")
