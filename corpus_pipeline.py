@@ -14,34 +14,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import edit_decontam, feistel_shards, kneser_ney, simhash_ball, source_schedule
-from tessera.llm.common import ensure_checkpoint_dir, table
+from tessera.llm.common import checkpointed, ensure_checkpoint_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Up to so many kept rows, of 17 bytes each, are sent to the texts; more meet them by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the Kneser-Ney model does not reject."""
+    """Documents that the Kneser-Ney model does not reject. Null and empty texts are rejected; each of repeated rows is judged alike."""
     judged = kneser_ney.judge_quality(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
     return judged.filter("keep").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One row of each group of near copies: of the smallest id, null last, and of several such the one with the smallest hash.
 
-    Rows with a null id belong to no group and stay. Of several rows with one id
-    that stays, the one with the smallest (text, lang, source) stays.
+    Rows are judged by their texts alone, so different texts of one id are different
+    documents. Null texts and texts without words are copies of one another; of equal
+    rows one stays.
     """
     docs = docs.select(COLUMNS)
-    groups = simhash_ball.near_duplicate_groups(docs)
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg((F.count("*") > 1).alias("_repeated"))
-    kept = groups.filter("doc_id = component_id").select("doc_id").join(repeated, "doc_id")
-    docs_kept = docs.join(kept, "doc_id")
-    several = docs_kept.filter("_repeated").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("s")).select("doc_id", "s.*")
-    return docs_kept.filter("not _repeated").select(COLUMNS).union(several.select(COLUMNS)).union(docs.filter("doc_id is null"))
+    said = [F.concat(F.lit("\x01"), F.col(c).cast("string")) for c in COLUMNS]
+    row = F.unhex(F.md5(F.concat_ws("\x02", *[F.coalesce(c, F.lit("")) for c in said])))
+    placed = simhash_ball.similar_groups(docs.withColumn("_row", row), ["doc_id", "_row"])
+    kept = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("s")).select("s._row")
+    # rows that are equal in all columns have one hash, and only one of them stays
+    several = placed.groupBy("_row").agg((F.count("*") > 1).alias("_several"))
+    kept = checkpointed(kept.join(several, "_row"))
+    kept = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept.hint("shuffle_merge")
+    docs_kept = docs.withColumn("_row", row).join(kept, "_row")
+    once = docs_kept.filter("_several").dropDuplicates(["_row"])
+    return docs_kept.filter("not _several").select(COLUMNS).union(once.select(COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null texts hold none; each of repeated rows is judged alike."""
     return edit_decontam.drop_leaks(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
@@ -60,7 +68,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard and slot in a reproducible shuffle."""
+    """Every row with its shard and slot in a reproducible shuffle. Null texts have 8 bytes; repeated rows each have a slot."""
     sized = feistel_shards.with_sizes(docs.select(COLUMNS))
     return feistel_shards.assign_shards(sized, ["doc_id", "size", "text_crc32"]).select(*COLUMNS, "size", "text_crc32", "law", "shard", "slot")
 
@@ -73,12 +81,12 @@ STAGES = [
     ("shard", shard),
 ]
 
-#: SQL can express neither the model nor the fingerprints; tests/llm compares run() with a brute-force version.
+#: SQL can express neither the model nor the fingerprints; tests/llm compares each stage with a plain version of it, and run() with the stages one after another.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the stages' tables are in the checkpoint folder."""
+    """All stages over ``documents``; the last stage's table stays in the checkpoint folder, the others go when they are read."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
@@ -86,4 +94,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         docs.write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            before = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+            before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
     return docs
