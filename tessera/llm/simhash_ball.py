@@ -391,8 +391,12 @@ def similar_groups(docs: DataFrame, keep: list[str], text_col: str = "text", thr
     prints = checkpointed(rows.select(*keep, "_key", prints_of("_text").alias("_p")).select(*keep, "_key", "_p.*"))
     nodes = checkpointed(prints.groupBy("node").agg(F.min("_key").alias("_least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     buckets = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = checkpointed(buckets.join(hubs, "key").select("key", "node", "hub"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = checkpointed(buckets.join(shared, "key").select("key", "node", "n"))
+    # the node that meets most others is nearest to what its bucket's nodes are copies of
+    known = shared.groupBy("node").agg(F.sum("n").alias("meets"))
+    hubs = shared.join(known, "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("most")).select("key", F.col("most.node").alias("hub"))
+    members = checkpointed(shared.join(hubs, "key").select("key", "node", "hub"))
     star = members.filter("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     star = checkpointed(star.union(_ball_pairs(nodes.select("node", "fp"), radius)).distinct())
     # the sets of nodes that meet another one, from one text each
@@ -406,7 +410,8 @@ def similar_groups(docs: DataFrame, keep: list[str], text_col: str = "text", thr
     placed = members.join(roots, members["node"] == roots["_node"], "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
     open_ = checkpointed(placed.join(mixed, "key").select("node", "comp").distinct())
-    rest = checkpointed(_similar_by_prefix(open_, sets, threshold).join(star, ["u", "v"], "left_anti"))
+    done = star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    rest = checkpointed(_similar_by_prefix(open_, sets, threshold).join(done, ["u", "v"], "left_anti"))
     roots = connected_components(links.union(_verified(rest, sets, threshold))).withColumnRenamed("root", "_root")
     return join_spread(prints.select(*keep, "node"), roots, "node").select(*keep, F.coalesce("_root", "node").alias("component"))
 
