@@ -3,8 +3,10 @@
 import functools
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_template, edit_decontam, feistel_shards, html_extract, kneser_ney, license_diagonals, media_chunks, simhash_ball, source_schedule, url_reputation
+from tessera.llm import chat_template, common, edit_decontam, feistel_shards, html_extract, kneser_ney, license_diagonals, media_chunks, simhash_ball, source_schedule, url_reputation
 from tessera.llm.common import checkpointed, join_spread
 from tessera.llm.components import connected_components
 
@@ -565,6 +567,23 @@ def test_groups_of_many_copies_that_differ_are_exact(spark):
                 assert (u, v) in pairs
 
 
+def test_checkpoints_leave_no_shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before, switch = files(), spark.conf.get(common._REMOVE_SHUFFLES)
+    rows = spark.range(2000).select((F.col("id") % 50).alias("u"), (F.col("id") % 70).alias("v"), F.lit(1).alias("n"))
+    least = rows.groupBy("u").agg(F.min("v").alias("least"))
+    out = checkpointed(rows.join(least.hint("shuffle_merge"), "u").drop("n").distinct())
+    for _ in range(100):  # they are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(common._REMOVE_SHUFFLES) == switch
+    # what was made before is read again as it was
+    assert {tuple(r) for r in out.collect()} == {(i % 50, i % 70, i % 10) for i in range(2000)}
+    assert rows.join(least, "u").count() == 2000 and out.join(least, "u").count() == out.count()
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("corpus")
