@@ -322,6 +322,13 @@ def _ball_pairs(nodes: DataFrame, radius: int) -> DataFrame:
     return apart.union(alike)
 
 
+def _with_main(posted: DataFrame) -> DataFrame:
+    """Add to ``posted(token, comp, ...)``, a table, the component that most of a token's rows are of; tokens of one component go."""
+    counts = posted.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    main = counts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
+    return join_spread(posted, main.select("token", F.col("most.comp").alias("main")), "token").filter("main is not null")
+
+
 def _similar_by_prefix(nodes: DataFrame, sets: DataFrame, threshold: float, width: float = 1.1) -> DataFrame:
     """``nodes(node, comp)`` to pairs (u, v) of different components; all with the similarity ``threshold`` are among them.
 
@@ -357,9 +364,7 @@ def _similar_by_prefix(nodes: DataFrame, sets: DataFrame, threshold: float, widt
     first = F.slice("tokens", F.lit(1), F.greatest(n - share(n, least) + 1, F.lit(0)).cast("int"))
     posted = lists.select("node", "comp", "n", "own", "partner", F.posexplode(first).alias("i", "t")).filter("t.df > 1")
     posted = checkpointed(posted.select(F.col("t.token").alias("token"), "own", "partner", "node", "comp", "n", "i"))
-    counts = posted.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    main = counts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
-    posted = posted.join(main.select("token", F.col("most.comp").alias("main")), "token")
+    posted = _with_main(posted)
     a = posted.filter("comp != main").select("token", "own", "partner", *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "i")])
     b = posted.select("token", F.col("partner").alias("own"), F.col("own").alias("partner"), "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "i")])
     left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))

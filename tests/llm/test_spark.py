@@ -567,6 +567,25 @@ def test_groups_of_many_copies_that_differ_are_exact(spark):
                 assert (u, v) in pairs
 
 
+def test_rows_of_a_very_common_shingle_are_dealt_over_tasks(spark):
+    posted = [(7, 1 + i % 3 // 2, i) for i in range(6000)] + [(8, 5, i) for i in range(2500)] + [(i, i % 2, 0) for i in range(9, 30)] + [(i, 4, 1) for i in range(9, 20)]
+    known = checkpointed(spark.createDataFrame(posted, "token long, comp long, node long"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = simhash_ball._with_main(known)
+        rows = [tuple(r) for r in found.select("token", "comp", "node", "main").collect()]
+        tasks = found.filter("token = 7").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [(*r, 1) for r in posted if r[0] == 7] + [(*r, 4) for r in posted if 9 <= r[0] < 20]
+    assert Counter(rows) == Counter(want)
+    assert max(r["count"] for r in tasks) <= 4000 and sum(r["count"] for r in tasks) == 6000
+
+
 def test_checkpoints_leave_no_shuffle_files(spark):
     folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
     files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
