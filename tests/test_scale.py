@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import cluster
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +53,9 @@ def test_more_queries_equal_their_sql(spark, name):
     from tests.test_engine import test_query_equals_its_sql
 
     test_query_equals_its_sql(spark, name)
+
+
+def test_equal_strengths_go_by_id_whatever_the_order_of_edges():
+    up, down = [0.7, 0.8, 0.9, 0.1], [0.9, 0.8, 0.7, 0.1]  # added one by one, down is more than up by the last digit
+    edges = [(1, 10 + k, f, f, None, 0, 1 + k) for k, f in enumerate(up)] + [(2, 10 + k, f, f, None, 0, 1 + k) for k, f in enumerate(down)]
+    assert [cluster.describe_part(e)["primaries"][0] for e in (edges, edges[::-1])] == [1, 1]
