@@ -16,7 +16,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["pair_scores", "short_text_threshold", "best_per_chunk", "recall_union", "recall_hash", "minhash_similarity", "shared_terms"])
+@pytest.mark.parametrize("name", ["pair_scores", "short_text_threshold", "best_per_chunk", "recall_union", "recall_hash", "minhash_similarity", "shared_terms", "idf", "tfidf_vectors"])
 def test_only_texts_are_shuffled(spark, name):
     told = plan(catalog.queries()[name](spark, SF))
     assert told.count("Exchange ") == 1 and "Join" not in told and "InMemoryTableScan" not in told and "parts" not in told[: told.index("Generate")]
